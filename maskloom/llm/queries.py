@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, packing, records
+from maskloom.llm import common, packing, quality, records, toxicity
 
 
 def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +16,24 @@ def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(shards, path, with_ids=False)
 
 
+def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_framed_records": op2_framed_records,
+    "op3_quality_kernel": op3_quality_kernel,
     "op8_pattern_packing": op8_pattern_packing,
+    "op9_toxicity_grammar": op9_toxicity_grammar,
 }
 
 ORACLE_SQL: dict[str, str] = {}
