@@ -7,7 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, packing, quality, records, toxicity
+from maskloom.llm import common, lines, packing, quality, records, toxicity
+
+
+def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_removed")
 
 
 def op2_framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +34,11 @@ def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_spread_lines": op1_site_spread_lines,
     "op2_framed_records": op2_framed_records,
     "op3_quality_kernel": op3_quality_kernel,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_toxicity_grammar": op9_toxicity_grammar,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_site_spread_lines": lines.oracle()}

@@ -141,10 +141,11 @@ def learn_stems(train: DataFrame) -> dict[str, float]:
     bad, good = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
     if not bad or not good:
         return {}
-    least = max(4.0, 0.004 * bad)
+    # so many toxic documents that chance alone hardly gives a term that no clean one has
+    least = max(5.0, float(np.log(3e-7) / np.log(bad / (bad + good))))
     odds = F.log((F.col("toxic") + 0.1) / (bad + 0.2)) - F.log((F.col("clean") + 0.1) / (good + 0.2))
     counted = train.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    rows = counted.where((F.col("toxic") >= least) & (F.col("clean") <= 0.04 * F.col("toxic"))).withColumn("odds", odds).orderBy(F.desc("odds"), "term").limit(STEMS).collect()
+    rows = counted.where((F.col("toxic") >= least) & (F.col("clean") <= 0.03 * F.col("toxic"))).withColumn("odds", odds).orderBy(F.desc("odds"), "term").limit(STEMS).collect()
     stems: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         term = r["term"].removesuffix("$")
