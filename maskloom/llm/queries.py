@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, lines, packing, quality, records, toxicity
+from maskloom.llm import common, lines, neighbours, packing, quality, records, toxicity
 
 
 def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op9_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op10_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_spread_lines": op1_site_spread_lines,
     "op2_framed_records": op2_framed_records,
     "op3_quality_kernel": op3_quality_kernel,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_toxicity_grammar": op9_toxicity_grammar,
+    "op10_sorted_projections": op10_sorted_projections,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_site_spread_lines": lines.oracle()}
