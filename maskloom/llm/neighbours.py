@@ -122,7 +122,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = common.shuffle_width(spark)
-    eps = 1e-12
+    eps = 0.0
 
     def hasher(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, lines, neighbours, packing, quality, records, toxicity
+from maskloom.llm import common, jaccard, lines, neighbours, packing, quality, records, toxicity
 
 
 def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op5_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_spread_lines": op1_site_spread_lines,
     "op2_framed_records": op2_framed_records,
     "op3_quality_kernel": op3_quality_kernel,
+    "op5_trie_jaccard": op5_trie_jaccard,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_toxicity_grammar": op9_toxicity_grammar,
     "op10_sorted_projections": op10_sorted_projections,
