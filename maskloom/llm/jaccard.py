@@ -126,12 +126,12 @@ def join_block(left: list[tuple[int, int, list]], right: list[tuple[int, int, li
 def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
     """From the buckets: kind 0, one row per document (row, doc_id, n); kind 1, its shared shingles of one bucket with frequencies."""
 
-    def make(texts: pa.Array):
-        owner, h = shingle_hashes(texts, size)
-        return owner, h, None
+    def make(part: pa.RecordBatch):
+        owner, h = shingle_hashes(part.column("text"), size)
+        return owner, h, h, None
 
     def count(table: pa.Table) -> pa.Table:
-        b = packed.Bucket(table, np.uint8)
+        b = packed.Bucket(table, "<u8")
         order = np.argsort(b.hash, kind="stable")
         h = b.hash[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -151,7 +151,8 @@ def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
             "df": pa.concat_arrays([none, packed.lists(df[at], run, m, pa.int64())]),
         })
 
-    sent = packed.deal(docs, 2 * common.shuffle_width(docs.sparkSession), make)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    sent = packed.deal(rows, common.shuffle_width(docs.sparkSession), make)
     return common.materialise(sent.groupBy("bucket").applyInArrow(count, "kind int, row long, doc_id long, n long, hashes array<long>, df array<long>"), "shared-shingles")
 
 

@@ -13,22 +13,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from maskloom.llm import common
 from maskloom.llm.words import slices
 
-SENT = "bucket int, ids binary, docs binary, counts binary, hashes binary, extra binary"
+SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"
 #: Bytes of text from which a task sends what it holds.
 SEND_BYTES = 24 << 20
 
 
-def deal(docs: DataFrame, buckets: int, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """Rows of ``SENT``.  ``make`` gives for a slice of texts: the row each hash belongs to, hashes, and a number for each hash or None.
+def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """Rows of ``SENT`` from ``rows`` with doc_id and text, and perhaps key.
 
-    Hashes keep their order within a document and bucket.  Rows of a document without hashes go to the bucket of
-    its id, so that each document is there: ``docs`` holds (row id, doc_id, is null, all hashes) of those at home in the bucket.
+    ``make`` gives for a slice of rows: the row each hash belongs to, the hash, the number that is sent for it, and a
+    second number or None.  They keep their order within a document and bucket.  With a ``key`` column its values stand for the
+    rows and each run of a document carries the doc_id (null: the greatest number); else rows are counted, and each
+    document is listed once, in the bucket of its row id: ``docs`` holds (row id, doc_id, is null, all hashes).
     """
+    keyed = "key" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -42,60 +43,67 @@ def deal(docs: DataFrame, buckets: int, make: Callable[[pa.Array], tuple[np.ndar
             h = np.concatenate([x[1] for x in held])
             extra = None if held[0][2] is None else np.concatenate([x[2] for x in held])
             home = np.concatenate([x[3] for x in held])  # rows of (row id, doc_id, is null, hashes)
-            to = (h >> np.uint64(40)).astype(np.int64) % buckets
+            value = np.concatenate([x[4] for x in held])
+            to = bucket_of(h, buckets)
             order = np.argsort(to.astype(np.uint32), kind="stable")
             bounds = np.searchsorted(to[order], np.arange(buckets + 1))
             lives = home[:, 0] % buckets
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], [], []]
+            local = {} if not keyed else dict(zip(home[:, 0].tolist(), np.where(home[:, 2] == 1, 2**63 - 1, home[:, 1]).tolist(), strict=True))
             for b in range(buckets):
                 at = order[bounds[b] : bounds[b + 1]]
-                own = home[lives == b]
+                own = home[lives == b] if not keyed else home[:0]
                 if not len(at) and not len(own):
                     continue
                 o = owner[at]
                 cut = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-                values = (b, o[cut].astype("<i8").tobytes(), own.astype("<i8").tobytes(), np.diff(np.concatenate([cut, [len(o)]])).astype("<i4").tobytes(), h[at].astype("<u8").tobytes(), b"" if extra is None else extra[at].tobytes())
+                names_of = np.array([local[x] for x in o[cut].tolist()], "<i8").tobytes() if keyed else b""
+                values = (b, o[cut].astype("<i8").tobytes(), names_of, own.astype("<i8").tobytes(), np.diff(np.concatenate([cut, [len(o)]])).astype("<i4").tobytes(), value[at].tobytes(), b"" if extra is None else extra[at].tobytes())
                 for c, v in zip(columns, values, strict=True):
                     c.append(v)
-            names = ["bucket", "ids", "docs", "counts", "hashes", "extra"]
+            names = ["bucket", "ids", "owners", "docs", "counts", "hashes", "extra"]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
 
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, h, extra = make(part.column(1))
+                owner, h, value, extra = make(part)
                 n = part.num_rows
-                ids = base + count + np.arange(n)
+                ids = part.column("key").to_numpy() if keyed else base + count + np.arange(n)
                 count += n
-                doc = part.column(0)
+                doc = part.column("doc_id")
                 home = np.stack([ids, doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.bincount(owner, minlength=n)], 1)
-                held.append((ids[owner] if len(owner) else np.zeros(0, np.int64), h, extra, home))
-                size += part.column(1).nbytes
+                held.append((ids[owner] if len(owner) else np.zeros(0, np.int64), h, extra, home, value))
+                size += part.column("text").nbytes
                 if size >= SEND_BYTES:
                     yield from send()
                     held, size = [], 0
         if held:
             yield from send()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
     return rows.mapInArrow(run, SENT)
 
 
 class Bucket:
     """What one bucket got: for each hash its row id, and the documents at home here."""
 
-    def __init__(self, table: pa.Table, extra: type | str):
+    def __init__(self, table: pa.Table, value: str, extra: str = "<u1"):
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
         self.ids, counts = joined("ids", "<i8"), joined("counts", "<i4")
         self.run = np.repeat(np.arange(len(self.ids)), counts)
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        self.owner = self.ids[self.run]
-        self.hash = joined("hashes", "<u8")
+        owners = joined("owners", "<i8")
+        self.owners = owners if len(owners) else self.ids
+        self.hash = joined("hashes", value)
         self.extra = joined("extra", extra)
         self.docs = joined("docs", "<i8").reshape(-1, 4)
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % buckets
+
+
 def lists(values: np.ndarray, run: np.ndarray, runs: int, kind: pa.DataType) -> pa.Array:
     """Values grouped by ascending run number, as a list array with a list for each run."""
     bounds = np.searchsorted(run, np.arange(runs + 1))
