@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, jaccard, lines, neighbours, packing, quality, records, substrings, toxicity
+from maskloom.llm import common, contamination, jaccard, lines, neighbours, packing, quality, records, substrings, toxicity
 
 
 def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op5_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_cgk_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(common.table(spark, sf_dir, "documents"), with_text=False)
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_framed_records": op2_framed_records,
     "op3_quality_kernel": op3_quality_kernel,
     "op5_trie_jaccard": op5_trie_jaccard,
+    "op6_cgk_contamination": op6_cgk_contamination,
     "op7_block_anchors": op7_block_anchors,
     "op8_pattern_packing": op8_pattern_packing,
     "op9_toxicity_grammar": op9_toxicity_grammar,
