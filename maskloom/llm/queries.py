@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskloom.llm import common, contamination, jaccard, lines, neighbours, packing, quality, records, substrings, toxicity
+from maskloom.llm import common, contamination, jaccard, katz, lines, neighbours, packing, quality, records, substrings, toxicity
 
 
 def op1_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(common.table(spark, sf_dir, "documents"))
+
+
 def op5_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_spread_lines": op1_site_spread_lines,
     "op2_framed_records": op2_framed_records,
     "op3_quality_kernel": op3_quality_kernel,
+    "op4_katz_backoff": op4_katz_backoff,
     "op5_trie_jaccard": op5_trie_jaccard,
     "op6_cgk_contamination": op6_cgk_contamination,
     "op7_block_anchors": op7_block_anchors,
