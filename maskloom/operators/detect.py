@@ -54,9 +54,9 @@ DEFAULT_DETECTORS = tuple(name for name, d in DETECTORS.items() if d.default)
 
 def identifier_spans(text: Column, enabled: tuple[str, ...] = DEFAULT_DETECTORS) -> Column:
     """Valid identifiers of the enabled detectors: array of (start, end, label, detector)."""
-    found = []
-    for name in enabled:
-        d = DETECTORS[name]
-        hits = F.filter(find_spans(text, d.pattern), lambda m, d=d: d.status(m["value"]) == "valid")
-        found.append(F.transform(hits, lambda m, d=d, name=name: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(d.label).alias("label"), F.lit(name).alias("detector"))))
-    return F.concat(*found)
+
+    def found(name: str, d: Detector) -> Column:
+        hits = F.filter(find_spans(text, d.pattern), lambda m: d.status(m["value"]) == "valid")
+        return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(d.label).alias("label"), F.lit(name).alias("detector")))
+
+    return F.concat(*(found(name, DETECTORS[name]) for name in enabled))
