@@ -168,8 +168,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     got = shared_shingles(docs, size)
     every = got.where("kind = 0").select("row", "doc_id", "n")
     shared = got.where("kind = 1").select("row", "hashes", "df")
-    enough = shared.groupBy("row").agg(F.sum(F.size("hashes")).alias("m")).join(every.select("row", "n"), "row").where(F.col("m") * 100 >= F.col("n") * percent).select("row", "n", "m")
-    gathered = shared.join(enough, "row").groupBy("row", "n", "m").agg(F.flatten(F.collect_list(F.arrays_zip(F.col("df").alias("df"), F.col("hashes").alias("h")))).alias("items"))
+    gathered = shared.groupBy("row").agg(F.sum(F.size("hashes")).alias("m"), F.flatten(F.collect_list(F.arrays_zip(F.col("df").alias("df"), F.col("hashes").alias("h")))).alias("items"))
+    gathered = gathered.join(every.select("row", "n"), "row").where(F.col("m") * 100 >= F.col("n") * percent)
     ordered = gathered.select("row", "n", "m", F.array_sort("items").alias("items"))
     same = F.when(F.col("m") == F.col("n"), F.lit(-1)).otherwise(F.col("row"))
     keyed = ordered.select("row", "n", "m", "items", F.struct("n", F.xxhash64("items"), F.xxhash64(F.lit(7), "items"), same).alias("key"))
