@@ -65,14 +65,14 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     gone = (
         hits.join(first, "key")
         .where(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "pos") != F.col("at"))
-        .groupBy(F.col("doc_id").alias("hit_id"))
-        .agg(F.collect_set("pos").alias("gone"))
+        .groupBy(F.col("doc_id").alias("__hit_id"))
+        .agg(F.collect_set("pos").alias("__gone"))
     )
     lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains("gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    text = F.when(F.col("gone").isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    removed = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("gone"), F.lit(0)))
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains("__gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
+    text = F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hit_id")), "left")
+    removed = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0)))
     out = [text.alias("text") if c == "text" else F.col(c) for c in own]
     return joined.select(*out, removed.cast("int").alias("lines_removed"))
 
@@ -90,7 +90,7 @@ hits AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id,
 gone AS (SELECT doc_id, pos FROM hits WHERE nth > 1),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
          FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos WHERE g.pos IS NULL GROUP BY l.doc_id)
-SELECT d.doc_id, coalesce(k.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
        CAST(coalesce(n.n, 0) AS INTEGER) AS lines_removed
 FROM documents d LEFT JOIN kept k USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) n USING (doc_id)"""
