@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskloom.llm.words import slices
+from maskloom.llm.words import ragged, slices
 
 SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"
 #: Bytes of text from which a task sends what it holds.
@@ -108,3 +108,45 @@ def lists(values: np.ndarray, run: np.ndarray, runs: int, kind: pa.DataType) ->
     """Values grouped by ascending run number, as a list array with a list for each run."""
     bounds = np.searchsorted(run, np.arange(runs + 1))
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+HOMED = "home int, keys binary, owners binary, counts binary, buckets binary, values binary"
+
+
+def homed(b: Bucket, at: np.ndarray, values: np.ndarray, bucket: int, homes: int) -> pa.Table:
+    """Marked entries of a bucket on their way back, one row per home of their documents' keys: a few plain bytes for each."""
+    runs, run = np.unique(b.run[at], return_inverse=True)
+    home = (b.ids[runs].view(np.uint64) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    counts = np.bincount(run, minlength=len(runs))
+    first = np.cumsum(counts) - counts
+    bounds = np.searchsorted(home[order], np.arange(homes + 1))
+    columns: list[list] = [[], [], [], [], [], []]
+    for h in range(homes):
+        own = order[bounds[h] : bounds[h + 1]]
+        if len(own):
+            got = values[ragged(first[own], counts[own])].astype("<i4")
+            row = (h, b.ids[runs[own]].astype("<i8").tobytes(), b.owners[runs[own]].astype("<i8").tobytes(), counts[own].astype("<i4").tobytes(), np.full(len(own), bucket, "<i4").tobytes(), got.tobytes())
+            for c, v in zip(columns, row, strict=True):
+                c.append(v)
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["home", "keys", "owners", "counts", "buckets", "values"])
+
+
+def come_home(table: pa.Table) -> pa.Table:
+    """One row per document of a home: key, owner, and its entries' buckets and values in order, each once.
+
+    Rows that are repeated as they are have the same key and the same entries.
+    """
+    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    counts = joined("counts", "<i4")
+    key, owner, bucket = (np.repeat(joined(c, k), counts) for c, k in (("keys", "<i8"), ("owners", "<i8"), ("buckets", "<i4")))
+    value = joined("values", "<i4")
+    order = np.lexsort((value, bucket, owner, key))
+    key, owner, bucket, value = key[order], owner[order], bucket[order], value[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    once = new.copy()
+    once[1:] |= (bucket[1:] != bucket[:-1]) | (value[1:] != value[:-1])
+    run = (np.cumsum(new) - 1)[once]
+    n, first = int(new.sum()), np.flatnonzero(new)
+    return pa.table({"key": pa.array(key[first]), "owner": pa.array(owner[first]), "bucket": lists(bucket[once], run, n, pa.int32()), "at": lists(value[once], run, n, pa.int32())})

@@ -43,7 +43,7 @@ def _spread(starts: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """key, doc_id, starts (lists of window starts that a smaller doc_id has) for documents that have any.
+    """key, doc_id, starts (window starts that a smaller doc_id has) for documents that have any.
 
     ``docs`` has doc_id (long), key (long) and text without nulls.
     """
@@ -67,12 +67,13 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
             least = np.repeat(np.minimum.reduceat(np.where(index, owner, 2**63 - 1)[order], new), times)
             most = np.repeat(np.maximum.reduceat(owner[order], new), times)
             marked[order] = (least < owner[order]) | (index[order] & (most > owner[order]))
-        return _listed(b, np.flatnonzero(marked), None, int(table.column("bucket")[0].as_py()) if len(table) else 0)
+        at = np.flatnonzero(marked)
+        return packed.homed(b, at, at - b.first[b.run[at]], int(table.column("bucket")[0].as_py()), buckets)
 
-    found = packed.deal(docs, buckets, probes).groupBy("bucket").applyInArrow(anchors, "key long, owner long, bucket int, at array<int>")
-    found = common.materialise(found, "anchors")
-    hits = found.groupBy("key", "owner").agg(F.collect_list(F.struct("bucket", "at")).alias("hits"))
-    with_hits = docs.join(hits, (docs["key"] == hits["key"]) & (F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == hits["owner"])).select(docs["doc_id"], docs["key"], "text", "hits")
+    home = "key long, owner long, bucket array<int>, at array<int>"
+    found = packed.deal(docs, buckets, probes).groupBy("bucket").applyInArrow(anchors, packed.HOMED)
+    hits = common.materialise(found.groupBy("home").applyInArrow(packed.come_home, home), "anchors")
+    with_hits = docs.join(hits, (docs["key"] == hits["key"]) & (F.coalesce(docs["doc_id"], F.lit(2**63 - 1)) == hits["owner"])).select(docs["doc_id"], docs["key"], "text", "bucket", "at")
 
     def windows(part: pa.RecordBatch):
         w = split_words(part.column("text"), False)
@@ -80,7 +81,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
         first = np.searchsorted(owner, np.arange(part.num_rows + 1))
         g = ngram_hashes(w.hash, window)
         owners, hashes, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, "<i4")]
-        lists = part.column("hits")
+        bucket_lists, at_lists = part.column("bucket"), part.column("at")
         for i in range(part.num_rows):
             n = int(w.counts[i]) - window + 1
             if n <= 0:
@@ -88,11 +89,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
             to = packed.bucket_of(h[first[i] : first[i + 1]], buckets)
             order = np.argsort(to, kind="stable")
             begin = np.searchsorted(to[order], np.arange(buckets))
-            entry = lists[i].values
-            bucket, ats = entry.field("bucket").to_numpy(), entry.field("at")
-            offsets = ats.offsets.to_numpy()
-            ordinal = ats.values.to_numpy()[offsets[0] : offsets[-1]]
-            anchors_at = order[begin[np.repeat(bucket, np.diff(offsets))] + ordinal]
+            anchors_at = order[begin[bucket_lists[i].values.to_numpy()] + at_lists[i].values.to_numpy()]
             own = np.flatnonzero(_spread(anchors_at, window - anchor, 0, n))
             owners.append(np.full(len(own), i))
             hashes.append(g[w.first[i] + own])
@@ -110,29 +107,13 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             least = np.repeat(np.minimum.reduceat(owner[order], new), np.diff(np.concatenate([new, [len(v)]])))
             marked[order] = least < owner[order]
-        return _listed(b, np.flatnonzero(marked), b.extra, 0)
+        at = np.flatnonzero(marked)
+        return packed.homed(b, at, b.extra[at], 0, buckets)
 
-    again = packed.deal(with_hits, buckets, windows).groupBy("bucket").applyInArrow(minima, "key long, owner long, bucket int, at array<int>")
-    out = common.materialise(again, "repeats")
+    again = packed.deal(with_hits, buckets, windows).groupBy("bucket").applyInArrow(minima, packed.HOMED)
+    out = common.materialise(again.groupBy("home").applyInArrow(packed.come_home, home), "repeats")
     common.release(docs.sparkSession)
-    return out.groupBy("key", "owner").agg(F.collect_list("at").alias("starts"))
-
-
-def _listed(b: packed.Bucket, at: np.ndarray, values: np.ndarray | None, bucket: int) -> pa.Table:
-    """Marked entries by run: their numbers within the run, or ``values`` of them.  Runs of equal keys are given once."""
-    runs, run = np.unique(b.run[at], return_inverse=True)
-    keep = np.ones(len(runs), bool)
-    if len(runs):
-        pair = np.stack([b.ids[runs], b.owners[runs]], 1)
-        _, once = np.unique(pair, axis=0, return_index=True)
-        if len(once) < len(runs):  # rows repeated as they are: their marks are the same
-            keep[:] = False
-            keep[once] = True
-            chosen = keep[run]
-            at, run = at[chosen], (np.cumsum(keep) - 1)[run[chosen]]
-            runs = runs[keep]
-    got = at - b.first[b.run[at]] if values is None else values[at]
-    return pa.table({"key": pa.array(b.ids[runs]), "owner": pa.array(b.owners[runs]), "bucket": pa.array(np.full(len(runs), bucket, np.int32)), "at": packed.lists(got.astype(np.int32), run, len(runs), pa.int32())})
+    return out.select("key", "owner", F.col("at").alias("starts"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFrame:
@@ -157,7 +138,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True)
                 gone = np.zeros(len(w.start), bool)
                 lists = part.column(2)
                 for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    starts = lists[i].values.flatten().to_numpy()
+                    starts = lists[i].values.to_numpy()
                     gone[w.first[i] : w.first[i + 1]] = _spread(starts, 0, window - 1, int(w.counts[i]))
                 kept = np.flatnonzero(~gone)
                 size = w.end[kept] - w.start[kept] + 1
