@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks, measures
 from maskloom.functions.rx import EMAIL, find_spans, render
-from maskloom.operators import datasets, detect, intervals, scoring, tokens
+from maskloom.operators import datasets, detect, fields, intervals, scoring, tokens
 from maskloom.plans import fixtures as fx
 from maskloom.plans.oracle import ORACLE_SQL  # noqa: F401
 
@@ -49,6 +49,29 @@ def email_spans_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _email_spans(spark, sf_dir, "pages", ["page_id"], "html")
 
 
+def _announcing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = (F.col("o_custkey") % 90 + 10).cast("string")
+    text = F.concat(F.lit("Passport number: C"), fx.digits("o_orderkey", 8), F.lit(", age: "), age, F.lit(" years. Order "), fx.digits("o_orderkey", 8), F.lit(" mail a@b.org"))
+    return fx.table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+@query
+def structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _announcing(spark, sf_dir).select("o_orderkey", F.explode(fields.announced("text")).alias("s"))
+    return found.select("o_orderkey", "s.start", "s.end", "s.label", "s.context")
+
+
+@query
+def structured_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fields.mask_structured(_announcing(spark, sf_dir))
+    return out.select("o_orderkey", "masked_text", "diagnostics.structured_candidates", "diagnostics.protected_candidates", "diagnostics.final_entities")
+
+
+@query
+def structured_mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.mask_structured(fx.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "masked_text", F.size("entities").alias("n_entities"))
+
+
 @query
 def render_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.format_string("%s bought %s", F.col("c_name"), F.col("c_mktsegment"))

@@ -135,6 +135,10 @@ ORACLE_SQL: dict[str, str] = {
     "email_spans": email_sql("documents", "doc_id", "text"),
     "email_spans_conversations": email_sql("conversations", "conv_id, turn", "text"),
     "email_spans_pages": email_sql("pages", "page_id", "html"),
+    "structured_fields": """SELECT o_orderkey, 17 AS "start", 26 AS "end", 'PASSPORTNUM' AS label, 'personal' AS context FROM orders
+UNION ALL SELECT o_orderkey, 33, 41, 'AGE', 'personal' FROM orders""",
+    "structured_mask": """SELECT o_orderkey, 'Passport number: [PASSPORTNUM], age: [AGE]. Order ' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') || ' mail [EMAIL]' AS masked_text,
+  2 AS structured_candidates, 1 AS protected_candidates, 3 AS final_entities FROM orders""",
     "render_adjacent": "SELECT c_custkey, '[PERSONNAME][USERNAME] bought ' || c_mktsegment AS masked_text FROM customer",
     "iban_validate": f"""WITH b AS (SELECT c_custkey, '37040044' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS body FROM customer),
 v AS (SELECT c_custkey, 'DE' || CASE WHEN c_custkey % 2 = 0 THEN lpad(CAST(98 - {fold97("body || 'DE00'")} AS VARCHAR), 2, '0') ELSE '11' END || body AS iban FROM b),
