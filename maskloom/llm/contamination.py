@@ -41,21 +41,25 @@ def sampled(size: int, rounds: int, bits: int) -> np.ndarray:
 
 
 def keys(words: np.ndarray, size: int, rounds: int, bits: int) -> np.ndarray:
-    """LSH keys (windows x rounds) of windows given as rows of word hashes; rows end with ``_END``."""
+    """LSH keys (windows x rounds) of windows given as rows of word hashes; rows end with ``_END``.
+
+    The walks of all rounds go on side by side; the random bit of (round, step, word) is the top bit of the word's hash
+    times an odd number of the round and step.
+    """
     n = len(words)
-    out = np.zeros((n, rounds), np.uint64)
     steps = sampled(size, rounds, bits)
-    row = np.arange(n)
-    for r in range(rounds):
-        at = np.zeros(n, np.int64)
-        key = np.full(n, np.uint64(size * 1000 + r))
-        want = steps[r].tolist()
-        for j in range(want[-1] + 1):
-            w = words[row, np.minimum(at, words.shape[1] - 1)]
-            for _ in range(want.count(j)):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w)
-            at += ((mix(w + np.uint64(r * 100_003 + j)) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
-        out[:, r] = key
+    last = int(steps[:, -1].max())
+    odd = np.random.default_rng([size, 72]).integers(0, 2**63, (last + 1, rounds), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    at = np.repeat(np.arange(n)[:, None] * words.shape[1], rounds, 1)
+    flat, end = words.ravel(), at + words.shape[1] - 1
+    out = np.tile(np.uint64(size * 1000) + np.arange(rounds, dtype=np.uint64), (n, 1))
+    for j in range(last + 1):
+        w = flat[at]
+        own = np.flatnonzero((steps == j).any(1))
+        if len(own):
+            out[:, own] = mix(out[:, own] * np.uint64(0x9E3779B97F4A7C15) + w[:, own])
+        at += ((w * odd[j]) >> np.uint64(63)).astype(np.int64)
+        np.minimum(at, end, out=at)
     return out
 
 
@@ -110,8 +114,8 @@ class Items:
         for n in np.unique(windows[:, 1]).tolist():
             at = windows[windows[:, 1] == n]
             table, who = self.tables[n]
-            for lo in range(0, len(at), 20_000):
-                part = at[lo : lo + 20_000]
+            for lo in range(0, len(at), 4_000):
+                part = at[lo : lo + 4_000]
                 pos = part[:, 2][:, None] + np.arange(n + 1)
                 inside = (pos < counts[part[:, 0]][:, None]) & (np.arange(n + 1) < n)
                 words = np.where(inside, h[np.minimum(first[part[:, 0]][:, None] + pos, len(h) - 1)], _END)
