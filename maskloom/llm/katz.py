@@ -125,36 +125,32 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         c = count[which]
         runs = len(b.ids)
         known = count > 0
-        columns = {"row": b.ids, **{s: _grouped_sum(b.run, c == r, runs).astype(np.int64) for r, s in enumerate(sums)}}
-        columns["big"] = _grouped_sum(b.run, c > SMALL, runs).astype(np.int64)
-        columns["log_big"] = _grouped_sum(b.run, np.where(c > SMALL, np.log10(np.maximum(c, 1)), 0.0), runs)
-        columns["log_base"] = _grouped_sum(b.run, np.log10(c + 0.1), runs)
-        n, m = runs, len(b.docs)
+        columns = [_grouped_sum(b.run, c == r, runs) for r in range(SMALL + 1)]
+        columns += [_grouped_sum(b.run, c > SMALL, runs), _grouped_sum(b.run, np.where(c > SMALL, np.log10(np.maximum(c, 1)), 0.0), runs), _grouped_sum(b.run, np.log10(c + 0.1), runs)]
         number = int(table.column("bucket")[0].as_py())
         few = np.bincount(np.minimum(count[known], SMALL + 2), minlength=SMALL + 3)[: SMALL + 3].astype(np.int64)
+        home = packed.summed(b, columns, number, buckets)
+        n = len(home)
 
-        def padded(values, before: int, after: int) -> pa.Array:
-            a = pa.array(values)
-            return pa.concat_arrays([pa.nulls(before, a.type), a, pa.nulls(after, a.type)])
+        def ended(kind: pa.DataType, value) -> pa.Array:
+            return pa.concat_arrays([pa.nulls(n, kind), pa.array([value], kind)])
 
-        # kind 0: sums of a document in this bucket; 1: documents at home here; 2: the bucket's table and totals
+        # the sums of documents on their way home; last, with home -1, the bucket's table and totals
         return pa.table({
-            "kind": pa.array(np.concatenate([np.zeros(n), np.ones(m), [2]]).astype(np.int32)),
-            "bucket": pa.array(np.full(n + m + 1, number, np.int32)),
-            "row": pa.array(np.concatenate([b.ids, b.docs[:, 0], [0]])),
-            "doc_id": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(b.docs[:, 1], mask=b.docs[:, 2] == 1), pa.nulls(1, pa.int64())]),
-            **{k: padded(v, 0, m + 1) for k, v in columns.items() if k != "row"},
-            "types": padded([(types[known] << np.uint64(1)).astype("<u8").tobytes()], n + m, 0),
-            "counts": padded([count[known].astype("<i8").tobytes()], n + m, 0),
-            "few": padded([few.tolist()], n + m, 0),
-            "total": padded([int(count.sum())], n + m, 0),
-            "size": padded([int(known.sum())], n + m, 0),
+            "home": pa.array([*(x[0] for x in home), -1], pa.int32()),
+            **{name: pa.array([*(x[k] for x in home), None], pa.binary()) for k, name in enumerate(("keys", "sums", "docs"), 1)},
+            "bucket": pa.array(np.full(n + 1, number, np.int32)),
+            "types": ended(pa.binary(), (types[known] << np.uint64(1)).astype("<u8").tobytes()),
+            "counts": ended(pa.binary(), count[known].astype("<i8").tobytes()),
+            "few": ended(pa.list_(pa.int64()), few.tolist()),
+            "total": ended(pa.int64(), int(count.sum())),
+            "size": ended(pa.int64(), int(known.sum())),
         })
 
-    schema = "kind int, bucket int, row long, doc_id long, " + ", ".join(f"{s} long" for s in sums) + ", big long, log_big double, log_base double, types binary, counts binary, few array<long>, total long, size long"
+    schema = packed.SUMMED + ", bucket int, types binary, counts binary, few array<long>, total long, size long"
     uni = common.materialise(packed.deal(rows, buckets, unigram_make).groupBy("bucket").applyInArrow(unigram_count, schema), "unigrams")
     common.release(spark)
-    totals = uni.where("kind = 2").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
+    totals = uni.where("home = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     unigrams = Unigrams.of({r: totals[r + 1] for r in range(1, SMALL + 2)}, totals[0], totals[1])
 
     # 2. training bigrams by context
@@ -195,7 +191,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
 
     # unigram counts of the followers: requests meet the unigram tables in their buckets
     stored = bi.where("few is null").withColumn("home", F.pmod(F.shiftrightunsigned("word", 40), F.lit(buckets)).cast("int"))
-    tables = uni.where("kind = 2").select(F.col("bucket").alias("home"), "types", "counts")
+    tables = uni.where("home = -1").select(F.col("bucket").alias("home"), "types", "counts")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         word = left.column("word").to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFFFFFFFFFE)
@@ -254,18 +250,21 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
             own = b.hash.astype(np.uint64) << np.uint64(32) | b.extra.astype(np.uint64)
             at = np.minimum(np.searchsorted(key, own), len(key) - 1)
             value += np.where(key[at] == own, joined("gain", "<f8")[at], 0.0)
-        return pa.table({"row": pa.array(b.ids), "value": pa.array(_grouped_sum(b.run, value, len(b.ids)))})
+        number = int(left.column("bucket")[0].as_py()) if len(left) else -1
+        home = packed.summed(b, [_grouped_sum(b.run, value, len(b.ids))], -1, buckets) if number >= 0 else []
+        return pa.table([pa.array([x[0] for x in home], pa.int32()), *(pa.array([x[k] for x in home], pa.binary()) for k in (1, 2, 3))], ["home", "keys", "sums", "docs"])
 
-    scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, "row long, value double")
-    higher = common.materialise(scored.groupBy("row").agg(F.sum("value").alias("value")), "bigram-sums")
+    names = [*sums, "big", "log_big", "log_base"]
+    scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.SUMMED)
+    higher = common.materialise(scored.groupBy("home").applyInArrow(lambda t: packed.sum_up(t, ["value"]), "row long, value double"), "bigram-sums")
     common.release(spark)
-    lower = uni.where("kind = 0").groupBy("row").agg(*(F.sum(c).alias(c) for c in (*sums, "big", "log_big", "log_base")))
+    lower = uni.where("home >= 0").select("home", "keys", "sums", "docs").groupBy("home").applyInArrow(lambda t: packed.sum_up(t, names), "row long, doc_id long, " + ", ".join(f"{c} double" for c in names))
     logs = [float(np.log10(unigrams.unseen))] + [float(np.log10(unigrams.probability(np.array([r]))[0])) if unigrams.total else 0.0 for r in range(1, SMALL + 1)]
     n_tokens = sum((F.col(c) for c in sums), F.col("big"))
     base = float(np.log10(unigrams.total + 0.1 * (unigrams.types + 1)))
     unit = float(np.log10(unigrams.d[0] / max(1, unigrams.total)))
     p1 = sum((F.col(c) * F.lit(x) for c, x in zip(sums, logs, strict=True)), F.col("log_big") + F.col("big") * F.lit(unit))
-    out = uni.where("kind = 1").select("row", "doc_id").join(lower, "row").join(higher, "row")
+    out = lower.join(higher, "row")
     return out.select(
         "doc_id", (common.fold("doc_id", folds) == 0).alias("held_out"), n_tokens.cast("long").alias("n_tokens"), (n_tokens - F.col("m0")).cast("long").alias("n_known"),
         F.lit(unigrams.total).cast("long").alias("train_tokens"), (F.col("log_base") - n_tokens * F.lit(base)).alias("base_score"), (p1 + F.col("value")).alias("score"),

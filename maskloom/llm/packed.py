@@ -18,7 +18,7 @@ from maskloom.llm.words import ragged, slices
 
 SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"
 #: Bytes of text from which a task sends what it holds.
-SEND_BYTES = 24 << 20
+SEND_BYTES = 8 << 20
 
 
 def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]) -> DataFrame:
@@ -150,3 +150,35 @@ def come_home(table: pa.Table) -> pa.Table:
     run = (np.cumsum(new) - 1)[once]
     n, first = int(new.sum()), np.flatnonzero(new)
     return pa.table({"key": pa.array(key[first]), "owner": pa.array(owner[first]), "bucket": lists(bucket[once], run, n, pa.int32()), "at": lists(value[once], run, n, pa.int32())})
+
+
+SUMMED = "home int, keys binary, sums binary, docs binary"
+
+
+def summed(b: Bucket, columns: list[np.ndarray], bucket: int, homes: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """A number of each column for each run, on the way to the homes of the runs' rows; documents at home here go along."""
+    home = (b.ids.view(np.uint64) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    bounds = np.searchsorted(home[order], np.arange(homes + 1))
+    matrix = np.stack(columns, 1).astype("<f8")
+    out = []
+    for h in range(homes):
+        own = order[bounds[h] : bounds[h + 1]]
+        docs = b.docs.astype("<i8").tobytes() if h == bucket else b""
+        if len(own) or docs:
+            out.append((h, b.ids[own].astype("<i8").tobytes(), matrix[own].tobytes(), docs))
+    return out
+
+
+def sum_up(table: pa.Table, names: list[str]) -> pa.Table:
+    """One row per document of a home: row, doc_id (null where it was) and the sums; without ``docs``, row and the sums alone."""
+    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    keys, sums, docs = joined("keys", "<i8"), joined("sums", "<f8").reshape(-1, len(names)), joined("docs", "<i8").reshape(-1, 4)
+    rows, at = np.unique(keys, return_inverse=True)
+    total = {name: np.bincount(at, weights=sums[:, k], minlength=len(rows)) for k, name in enumerate(names)}
+    if not len(docs):
+        return pa.table({"row": pa.array(rows), **total})
+    order = np.argsort(docs[:, 0])
+    docs = docs[order]
+    where = np.searchsorted(rows, docs[:, 0])
+    return pa.table({"row": pa.array(docs[:, 0]), "doc_id": pa.array(docs[:, 1], mask=docs[:, 2] == 1), **{k: v[where] for k, v in total.items()}})
