@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.functions import checks, measures
-from maskloom.functions.rx import EMAIL, find_spans, render
+from maskloom.functions.rx import EMAIL, find_spans, labelled_spans, render
 from maskloom.operators import datasets, detect, fields, intervals, scoring, tokens
 from maskloom.plans import fixtures as fx
+from maskloom.streaming import mask as stream
 from maskloom.plans.oracle import ORACLE_SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,6 +273,31 @@ def external_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("*", F.round(measures.percent(F.col("covered_gold_alnum"), F.col("gold_alnum")), 9).alias("coverage_pct"), F.round(measures.percent(F.col("excess_masked_chars"), F.col("non_annotated_chars")), 9).alias("excess_pct"))
 
 
+@query
+def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words before a stop are out of scope; words in -ing are masked."""
+    rows = fx.scored_documents(spark, sf_dir).withColumnRenamed("pred", "out_of_scope")
+    rows = rows.withColumn("pred", labelled_spans(F.col("text"), "[A-Za-z]*ing", "USERNAME"))
+    return scoring.out_of_scope_counts(rows).groupBy("lang").agg(F.sum("out_of_scope_alnum").alias("out_of_scope_alnum"), F.sum("masked_alnum").alias("masked_alnum"))
+
+
+@query
+def top_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.table(spark, sf_dir, "conversations").select(F.col("role").alias("label"), "text", F.explode(find_spans(F.col("text"), "[A-Za-z0-9][A-Za-z0-9.@]*")).alias("m"))
+    pieces = found.select("label", measures.shape(F.col("text"), F.col("m.start"), F.col("m.end")).alias("shape"), F.length("m.value").alias("chars"))
+    return scoring.top_shapes(pieces)
+
+
+@query
+def streaming_mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masking projection over the documents as a stream of files, read back from its sink."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="maskloom-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = stream.read_documents(spark, f"{sf_dir}/documents.parq*")
+    stream.write_masked(stream.mask_stream(docs).select("doc_id", "masked_text", F.size("entities").alias("n_entities")), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id bigint, masked_text string, n_entities int").parquet(f"{at}/out")
+
+
 @query
 def wilson_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = fx.table(spark, sf_dir, "documents").select("doc_id", "source").join(fx.table(spark, sf_dir, "labels"), "doc_id")

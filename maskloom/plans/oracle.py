@@ -116,6 +116,13 @@ SELECT lang, count(*) AS "rows", CAST(sum(gold_spans) AS BIGINT) AS gold_spans,
   round(CASE WHEN sum(gold_alnum) <> 0 THEN 100.0 * sum(covered_gold_alnum) / sum(gold_alnum) END, 9) AS coverage_pct, round(CASE WHEN sum(text_chars - gold_chars) <> 0 THEN 100.0 * sum(masked_chars - ins) / sum(text_chars - gold_chars) END, 9) AS excess_pct
 FROM row_ GROUP BY lang"""
 
+OUTSIDE = f"""WITH {SCORED}, {union_of('x', '(SELECT doc_id AS doc, s, e FROM ' + spans_of('documents', 'doc_id', 'text', '[A-Za-z]*ing') + ')')},
+a AS (SELECT * FROM mask), b AS (SELECT * FROM ann), {SUBTRACT},
+o AS (SELECT * FROM gap WHERE s < e), h AS (SELECT o.doc, greatest(o.s, x.s) AS s, least(o.e, x.e) AS e FROM o JOIN x ON o.doc = x.doc AND o.s < x.e AND x.s < o.e),
+k AS (SELECT doc, 1 AS side, s, e FROM o UNION ALL SELECT doc, 2, s, e FROM h),
+c AS (SELECT doc, side, sum(length(regexp_replace(substring(text, s + 1, e - s), '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS alnum FROM k JOIN d USING (doc) GROUP BY doc, side)
+SELECT lang, CAST(coalesce(sum(alnum) FILTER (side = 1), 0) AS BIGINT) AS out_of_scope_alnum, CAST(coalesce(sum(alnum) FILTER (side = 2), 0) AS BIGINT) AS masked_alnum FROM d LEFT JOIN c USING (doc) GROUP BY lang"""
+
 TOKENS = spans_of("documents", "doc_id", "text", r"[^\s]+")
 DNI = f"substring('{DNI_LETTERS}', CAST(%s %% 23 + 1 AS INTEGER), 1)"
 
@@ -198,6 +205,8 @@ SELECT {OUT}, label FROM w WHERE kept""",
     "masking_report_by_language": f"WITH {SCORED}, {counts('doc')} SELECT {total('lang')} FROM c GROUP BY lang",
     "masking_report_by_label": f"WITH {SCORED}, {counts('doc, label')} SELECT {total('label AS gold_label')} FROM c GROUP BY label",
     "external_score": EXTERNAL,
+    "out_of_scope": OUTSIDE,
+    "streaming_mask_documents": f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g') AS masked_text, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS INTEGER) AS n_entities FROM documents",
     "wilson_intervals": """WITH g AS (SELECT source, CAST(sum(quality) AS BIGINT) AS k, count(quality) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source),
 r AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g), c AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS m, z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n) AS h FROM r)
 SELECT source, k AS successes, n AS total, round(p, 9) AS rate, round(greatest(0, m - h), 9) AS low, round(least(1, m + h), 9) AS high FROM c""",
