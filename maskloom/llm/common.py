@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -57,3 +58,11 @@ def release(spark: SparkSession) -> None:
     """Let shuffle files of finished steps go; they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def forget_pieces() -> None:
+    """On a worker: drop the token caches that an earlier task left; workers are used again, and memory is theirs together."""
+    bpe = sys.modules.get("maskloom.llm.bpe")
+    if bpe is not None and bpe._encoders:
+        bpe._encoders.clear()
+        gc.collect()

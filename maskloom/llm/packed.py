@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from maskloom.llm import common
+
 from maskloom.llm.words import ragged, slices
 
 SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"
@@ -34,6 +36,7 @@ def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.forget_pieces()
         base = TaskContext.get().partitionId() << 40
         held: list[tuple[np.ndarray, ...]] = []
         size = count = 0
@@ -87,11 +90,13 @@ class Bucket:
     """What one bucket got: for each hash its row id, and the documents at home here."""
 
     def __init__(self, table: pa.Table, value: str, extra: str = "<u1"):
+        common.forget_pieces()
+
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
         self.ids, counts = joined("ids", "<i8"), joined("counts", "<i4")
-        self.run = np.repeat(np.arange(len(self.ids)), counts)
+        self.run = np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         owners = joined("owners", "<i8")
         self.owners = owners if len(owners) else self.ids
