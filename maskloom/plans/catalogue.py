@@ -354,6 +354,29 @@ def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.bio_decode(t, ["doc"])
 
 
+def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two windows of line items by their number, spans from the suppliers of the same order."""
+    t = fx.spans(spark, sf_dir).withColumn("win", (F.col("ord") > 3).cast("int"))
+    spans = fx.gold(spark, sf_dir).groupBy("doc", "ord").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return tokens.window_geometry(t, spans)
+
+
+@query
+def window_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geometry(spark, sf_dir)
+
+
+@query
+def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.fully_covered(_geometry(spark, sf_dir))
+
+
+@query
+def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents")
+    return datasets.ordered_digest(docs.select(datasets.text_hash(F.col("text")).alias("h")), "h")
+
+
 NAMES = ["O", "B-PERSONNAME", "I-PERSONNAME", "B-EMAIL", "I-EMAIL"]
 
 

@@ -124,6 +124,9 @@ c AS (SELECT doc, side, sum(length(regexp_replace(substring(text, s + 1, e - s),
 SELECT lang, CAST(coalesce(sum(alnum) FILTER (side = 1), 0) AS BIGINT) AS out_of_scope_alnum, CAST(coalesce(sum(alnum) FILTER (side = 2), 0) AS BIGINT) AS masked_alnum FROM d LEFT JOIN c USING (doc) GROUP BY lang"""
 
 TOKENS = spans_of("documents", "doc_id", "text", r"[^\s]+")
+GEOMETRY = f"""WITH {SP}, x AS (SELECT doc, CASE WHEN ord > 3 THEN 1 ELSE 0 END AS win, min(s) AS lo, max(e) AS hi FROM sp GROUP BY 1, 2),
+g AS (SELECT doc, ord, min(s) AS s, max(e) AS e FROM sp WHERE k % 3 = 0 GROUP BY doc, ord),
+geo AS (SELECT x.doc, win, ord, CASE WHEN e <= lo OR s >= hi THEN 'outside' WHEN s >= lo AND e <= hi THEN 'inside' ELSE 'crossing' END AS place FROM x JOIN g ON x.doc = g.doc)"""
 DNI = f"substring('{DNI_LETTERS}', CAST(%s %% 23 + 1 AS INTEGER), 1)"
 
 
@@ -215,6 +218,9 @@ m AS (SELECT coalesce(g.label, p.label) AS label, count(*) FILTER (g.doc IS NOT
   FROM g FULL JOIN p ON g.doc = p.doc AND g.s = p.s AND g.e = p.e AND g.label = p.label GROUP BY 1),
 r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re FROM m) SELECT label, tp, fp, fn, round(pr, 9) AS precision, round(re, 9) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 9) AS f1 FROM r""",
     "constrained_argmax_select": "WITH g AS (SELECT s_suppkey AS setting, s_suppkey * 37 % 101 AS coverage, s_suppkey * 53 % 29 AS excess FROM supplier) SELECT * FROM g WHERE excess <= 12 ORDER BY coverage DESC, excess, setting LIMIT 1",
+    "window_geometry": f"{GEOMETRY} SELECT * FROM geo",
+    "window_coverage": f"{GEOMETRY}, o AS (SELECT doc, ord, max(CASE WHEN place = 'inside' THEN 1 ELSE 0 END) AS ok FROM geo GROUP BY doc, ord) SELECT doc, count(*) AS spans, CAST(sum(ok) AS BIGINT) AS covered, min(ok) = 1 AS retained FROM o GROUP BY doc",
+    "text_digest": "WITH p AS (SELECT h[1:2] AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM (SELECT DISTINCT sha256(text) AS h FROM documents) GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY p)) AS digest, CAST(sum(n) AS BIGINT) AS values FROM p",
     "token_windows": r"""WITH n AS (SELECT doc_id AS doc, len(regexp_extract_all(text, '[^\s]+')) AS n FROM documents), w AS (SELECT doc, n, unnest(range(0, CAST(greatest(0, ceil((n - 510) / 382)) AS BIGINT) + 1)) AS win FROM n)
 SELECT doc, CAST(win AS INTEGER) AS win, CAST(win * 382 AS INTEGER) AS "first", CAST(least(510, n - win * 382) AS INTEGER) AS tokens FROM w""",
     "bio_encode": f"""WITH t AS (SELECT doc_id AS doc, i - 1 AS pos, s, e FROM {TOKENS}), sp AS (SELECT doc_id AS doc, i AS ord, s, e FROM {spans_of('documents', 'doc_id', 'text', '[A-Z][a-z]+[.,] [A-Z]?[a-z]+')}),

@@ -88,3 +88,9 @@ def test_union_of_two_taggers(spark):
 def test_wilson_of_nothing_is_null(spark):
     rate, low, high = measures.wilson(F.lit(0), F.lit(0))
     assert tuple(spark.range(1).select(rate, low, high).first()) == (None, None, None)
+
+
+def test_split_region_covers_the_region(spark):
+    df = spark.sql("SELECT 2 AS a, 20 AS b, array(named_struct('start', 5, 'end', 8, 'label', 'EMAIL'), named_struct('start', 8, 'end', 10, 'label', 'EMAIL'), named_struct('start', 18, 'end', 30, 'label', 'TELEPHONENUM')) AS o")
+    got = [tuple(r) for r in df.select(tokens.split_region(F.col("a"), F.col("b"), F.col("o"))).first()[0]]
+    assert got == [(2, 5, "ADDRESS"), (5, 10, "EMAIL"), (10, 18, "ADDRESS"), (18, 20, "TELEPHONENUM")]
