@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from maskloom.llm import common
-
 from maskloom.llm.words import ragged, slices
 
 SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"

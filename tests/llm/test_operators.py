@@ -64,10 +64,6 @@ def words(text, lower=True):
     return re.findall(rb"[^\x20\x09-\x0D]+", raw)
 
 
-def least(a, b):
-    return (a is None) - (b is None) or ((a > b) - (a < b) if a is not None else 0)
-
-
 # --- 1 ---
 
 
