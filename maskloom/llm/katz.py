@@ -11,7 +11,8 @@ for a document come from its buckets and no count table is ever sent whole to a
 * Scoring evaluates each token recursively: its stored bigram, else alpha(h) P(w), where P(w) is the discounted unigram or, for
   a token never seen, the mass that discounting left.
 
-The unigram counts, contexts and bigrams are tables partitioned by bucket in the shared folder.  A text is its
+The unigram counts, contexts and bigrams are packed tables, a row for each bucket, in the shared folder; of its followers a bucket
+asks each unigram bucket once.  A text is its
 words and one end; the first word's context is the end of the text before.  Contexts are identified by their
 bucket and 32 bits, followers by 64; contexts that share an identity form one class, normalised like any other.
 """
@@ -153,15 +154,19 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
     totals = uni.where("home = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     unigrams = Unigrams.of({r: totals[r + 1] for r in range(1, SMALL + 2)}, totals[0], totals[1])
 
-    # 2. training bigrams by context
+    # 2. training bigrams by context, one packed row per bucket, and its followers by the bucket of their unigram counts
     def bigram_make(part: pa.RecordBatch):
-        owner, context, h = bigrams(part.column("text"))
-        return owner, context, context.astype("<u4"), h.astype("<u8")
+        # whose a bigram is doesn't matter here; in order of context they take less room on their way
+        _, context, h = bigrams(part.column("text"))
+        order = np.argsort(context)
+        context, h = context[order], h[order]
+        return np.zeros(len(h), np.int64), context, context.astype("<u4"), h.astype("<u8")
 
     train = rows.where(~F.col("held"))
 
     def bigram_count(table: pa.Table) -> pa.Table:
         b = packed.Bucket(table, "<u4", "<u8")
+        number = int(table.column("bucket")[0].as_py())
         order = np.lexsort((b.extra, b.hash))
         a, w = b.hash[order], b.extra[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]) if len(a) else np.zeros(0, bool)
@@ -172,62 +177,86 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         total = np.bincount(which, weights=count, minlength=len(contexts)).astype(np.int64)
         few = np.bincount(np.minimum(count, SMALL + 2), minlength=SMALL + 3)[: SMALL + 3]
         keep = count >= min_count
-        number = np.full(int(keep.sum()), int(table.column("bucket")[0].as_py()), np.int32)
-        n = len(number)
-        null = lambda k, t: pa.nulls(k, t)
+        sizes = np.bincount(which[keep], minlength=len(contexts))
+        stored = sizes > 0
+        # followers once each, by home; bigrams hold their places in that order
+        words, place = np.unique(w[keep], return_inverse=True)
+        home = packed.bucket_of(words, buckets)
+        order = np.argsort(home, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words, bounds = words[order], np.searchsorted(home[order], np.arange(buckets + 1))
+        sent = np.flatnonzero(np.diff(bounds))
+        n = len(sent)
+
+        def ended(value: np.ndarray, kind: str) -> pa.Array:
+            return pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([value.astype(kind).tobytes()], pa.binary())])
+
+        # last, with home -1, the bucket's bigrams
         return pa.table({
-            "bucket": pa.array(np.append(number, np.int32(int(table.column("bucket")[0].as_py())))),
-            "context": pa.concat_arrays([pa.array(a[keep].astype(np.int64)), null(1, pa.int64())]),
-            "word": pa.concat_arrays([pa.array(w[keep].view(np.int64)), null(1, pa.int64())]),
-            "n": pa.concat_arrays([pa.array(count[keep].astype(np.int64)), null(1, pa.int64())]),
-            "total": pa.concat_arrays([pa.array(total[which][keep]), null(1, pa.int64())]),
-            "few": pa.concat_arrays([null(n, pa.list_(pa.int64())), pa.array([few.tolist()], pa.list_(pa.int64()))]),
+            "bucket": pa.array(np.full(n + 1, number, np.int32)),
+            "home": pa.array(np.append(sent, -1).astype(np.int32)),
+            "words": pa.array([*(words[bounds[h] : bounds[h + 1]].astype("<u8").tobytes() for h in sent), None], pa.binary()),
+            "counts": ended(count[keep], "<i8"),
+            "places": ended(rank[place], "<u4"),
+            "names": ended(contexts[stored], "<u4"),
+            "sizes": ended(sizes[stored], "<i8"),
+            "totals": ended(total[stored], "<i8"),
+            "few": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array([few.tolist()], pa.list_(pa.int64()))]),
         })
 
-    bi = common.materialise(packed.deal(train, buckets, bigram_make).groupBy("bucket").applyInArrow(bigram_count, "bucket int, context long, word long, n long, total long, few array<long>"), "bigrams")
+    answer = "bucket int, home int, words binary, counts binary"
+    bi = common.materialise(packed.deal(train, buckets, bigram_make).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>"), "bigrams")
     common.release(spark)
-    seen = bi.where("few is not null").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
+    seen = bi.where("home = -1").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     d = discounts({r: seen[r - 1] for r in range(1, SMALL + 2)}, min_count)
 
-    # unigram counts of the followers: requests meet the unigram tables in their buckets
-    stored = bi.where("few is null").withColumn("home", F.pmod(F.shiftrightunsigned("word", 40), F.lit(buckets)).cast("int"))
+    # unigram counts of the followers: requests meet the unigram tables in their buckets, and take the upper halves of the words along
     tables = uni.where("home = -1").select(F.col("bucket").alias("home"), "types", "counts")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        word = left.column("word").to_numpy().view(np.uint64) & np.uint64(0xFFFFFFFFFFFFFFFE)
         types = np.frombuffer(b"".join(right.column("types").to_pylist()), "<u8")
         counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), "<i8")
-        got = np.zeros(len(word), np.int64)
-        if len(types):
-            at = np.minimum(np.searchsorted(types, word), len(types) - 1)
-            got = np.where(types[at] == word, counts[at], 0)
-        return left.select(["bucket", "context", "word", "n", "total"]).append_column("p", pa.array(unigrams.probability(got)))
-
-    priced = stored.groupBy("home").cogroup(tables.groupBy("home")).applyInArrow(look_up, "bucket int, context long, word long, n long, total long, p double")
-    factor = F.when(F.col("n") > SMALL, F.lit(1.0)).otherwise(F.element_at(F.array(*(F.lit(float(x)) for x in d)), F.least(F.col("n"), F.lit(SMALL)).cast("int") + 1))
-    priced = common.materialise(priced.withColumn("q", factor * F.col("n") / F.col("total")), "priced-bigrams")
-
-    # 3. backoff weights and gains, one packed row per bucket
-    def weigh(table: pa.Table) -> pa.Table:
-        context = table.column("context").to_numpy().astype(np.uint32)
-        word = table.column("word").to_numpy().view(np.uint64)
-        total, p, q = (table.column(c).to_numpy() for c in ("total", "p", "q"))
-        order = np.lexsort((word, context))
-        context, word, total, p, q = context[order], word[order], total[order], p[order], q[order]
-        names, first, which = np.unique(context, return_index=True, return_inverse=True)
+        upper, answers = [], []
+        for raw in left.column("words").to_pylist():
+            own = np.frombuffer(raw, "<u8")
+            word = own & np.uint64(0xFFFFFFFFFFFFFFFE)
+            got = np.zeros(len(word), np.int64)
+            if len(types):
+                at = np.minimum(np.searchsorted(types, word), len(types) - 1)
+                got = np.where(types[at] == word, counts[at], 0)
+            upper.append((own >> np.uint64(32)).astype("<u4").tobytes())
+            answers.append(got.astype("<i8").tobytes())
+        return pa.table([left.column("bucket"), left.column("home"), pa.array(upper, pa.binary()), pa.array(answers, pa.binary())], ["bucket", "home", "words", "counts"])
+
+    priced = bi.where("home >= 0").select("bucket", "home", "words").groupBy("home").cogroup(tables.groupBy("home")).applyInArrow(look_up, answer)
+    model = bi.where("home = -1").drop("few").unionByName(common.materialise(priced, "follower-counts"), allowMissingColumns=True)
+    common.release(spark)
+
+    # 3. backoff weights and gains of a bucket
+    def weigh(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and the logarithms of their backoff weights; bigrams as context and upper half of the follower, and their gains over backoff."""
+        table = table.sort_by("home")
+        homes = table.column("home").to_numpy()
+
+        def joined(name: str, kind: str, own: bool) -> np.ndarray:
+            return np.frombuffer(b"".join(table.filter(pa.array((homes < 0) == own)).column(name).to_pylist()), kind)
+
+        names, sizes, n = joined("names", "<u4", True), joined("sizes", "<i8", True), joined("counts", "<i8", True)
+        if not len(names):
+            return names, np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)
+        place = joined("places", "<u4", True)
+        upper, p = joined("words", "<u4", False)[place], unigrams.probability(joined("counts", "<i8", False))[place]
+        total = joined("totals", "<i8", True)
+        which = np.repeat(np.arange(len(names)), sizes)
+        q = np.where(n > SMALL, 1.0, d[np.minimum(n, SMALL)]) * n / total[which]
         used, low = np.bincount(which, weights=q), np.bincount(which, weights=p)
         # a context must leave something to what it hasn't seen; where it wouldn't, its bigrams are scaled down
-        least = 1 / (total[first] + 1.0)
+        least = 1 / (total + 1.0)
         scale = np.where(1 - used < least, (1 - least) / used, 1.0)
-        alpha = (1 - used * scale) / np.maximum(1 - low, 1e-12)
-        gain = np.log10(q * scale[which]) - np.log10(alpha)[which] - np.log10(p)
-        return pa.table({
-            "bucket": table.column("bucket").slice(0, 1), "names": pa.array([names.astype("<u4").tobytes()]), "alpha": pa.array([np.log10(alpha).astype("<f8").tobytes()]),
-            "contexts": pa.array([context.astype("<u4").tobytes()]), "words": pa.array([word.astype("<u8").tobytes()]), "gain": pa.array([gain.astype("<f8").tobytes()]),
-        })
-
-    model = common.materialise(priced.groupBy("bucket").applyInArrow(weigh, "bucket int, names binary, alpha binary, contexts binary, words binary, gain binary"), "backoff")
-    common.release(spark)
+        alpha = np.log10((1 - used * scale) / np.maximum(1 - low, 1e-12))
+        gain = np.log10(q * scale[which]) - alpha[which] - np.log10(p)
+        return names, alpha, names[which].astype(np.uint64) << np.uint64(32) | upper, gain
 
     # 4. every bigram of every document against its bucket's table
     def score_make(part: pa.RecordBatch):
@@ -237,19 +266,14 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
         b = packed.Bucket(left, "<u4", "<u4")
-
-        def joined(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
-
         value = np.zeros(len(b.hash))
-        names, alpha = joined("names", "<u4"), joined("alpha", "<f8")
+        names, alpha, key, gain = weigh(right)
         if len(names):
             at = np.minimum(np.searchsorted(names, b.hash), len(names) - 1)
             value += np.where(names[at] == b.hash, alpha[at], 0.0)
-            key = joined("contexts", "<u4").astype(np.uint64) << np.uint64(32) | joined("words", "<u8") >> np.uint64(32)
             own = b.hash.astype(np.uint64) << np.uint64(32) | b.extra.astype(np.uint64)
             at = np.minimum(np.searchsorted(key, own), len(key) - 1)
-            value += np.where(key[at] == own, joined("gain", "<f8")[at], 0.0)
+            value += np.where(key[at] == own, gain[at], 0.0)
         number = int(left.column("bucket")[0].as_py()) if len(left) else -1
         home = packed.summed(b, [_grouped_sum(b.run, value, len(b.ids))], -1, buckets) if number >= 0 else []
         return pa.table([pa.array([x[0] for x in home], pa.int32()), *(pa.array([x[k] for x in home], pa.binary()) for k in (1, 2, 3))], ["home", "keys", "sums", "docs"])

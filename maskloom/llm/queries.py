@@ -25,7 +25,7 @@ def op3_quality_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_texts(common.table(spark, sf_dir, "documents"))
+    return katz.score_texts(common.table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op5_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,34 @@ def test_katz_matches_brute_force(docs, empty):
     assert katz.score_texts(empty).count() == 0
 
 
+def test_katz_query_keeps_bigrams_seen_once(spark, docs, tmp_path):
+    from maskloom.llm.queries import QUERIES
+
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus()
+    tokens = [[*words(t), None] for _, t, _ in rows]
+    out = [zlib.crc32(str(i if i is not None else "null").encode()) % 10 == 0 for i, _, _ in rows]
+    trained = [w for w, h in zip(tokens, out, strict=True) if not h]
+    one, two = Counter(x for w in trained for x in w), Counter(x for w in trained for x in zip([None, *w[:-1]], w, strict=True))
+    uni, d = katz.Unigrams.of(Counter(one.values()), sum(one.values()), len(one)), katz.discounts(Counter(two.values()))
+    p = lambda w: float(uni.probability(np.array([one[w]]))[0])
+    followers = defaultdict(dict)
+    for (a, b), c in two.items():
+        followers[a][b] = c
+    assert 1 in two.values()
+    assert d[1] > 0
+    model = {}
+    for a, f in followers.items():
+        total = sum(f.values())
+        q = {b: (1 if c > katz.SMALL else d[c]) * c / total for b, c in f.items()}
+        low, used = 1 / (total + 1), sum(q.values())
+        q = {b: x * ((1 - low) / used if 1 - used < low else 1) for b, x in q.items()}
+        model[a] = q, (1 - sum(q.values())) / max(1 - sum(p(b) for b in q), 1e-12)
+    score = lambda w: sum(math.log10(model[a][0].get(b, model[a][1] * p(b)) if a in model else p(b)) for a, b in zip([None, *w[:-1]], w, strict=True))
+    got = Counter((r["doc_id"], round(r["score"], 6)) for r in QUERIES["op4_katz_backoff"](spark, str(tmp_path)).collect())
+    assert got == Counter((i, round(score(w), 6)) for (i, _, _), w in zip(rows, tokens, strict=True))
+
+
 # --- 5 ---
 
 
