@@ -2,8 +2,8 @@
 
 Equal unit vectors are first folded into one row with a count.  In each pass every vector gets the signs of
 random projections, concatenated to a key; rows are ordered by (label, key) across the cluster and each is
-compared, in double precision, with its next neighbours in a bounded window.  Windows reach over partition
-borders by the edge rows of either side.  The number of passes follows from the number of rows so that a pair
+compared, in double precision, with its next neighbours in a bounded window.  Windows run over stretches of the
+whole order with the rows around them, so that partitions, however small, bound nothing.  The number of passes follows from the number of rows so that a pair
 at the threshold is met with the wanted probability.
 
 A vector whose window was full of links has more near neighbours than a window can show.  All such vectors are
@@ -83,23 +83,15 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, label string, unit binary")
 
 
-def _window_pairs(ids: np.ndarray, group: np.ndarray, x: np.ndarray, window: int, threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs at distance up to ``window`` in order, and for each row its links on either side.
-
-    ``split``: only pairs from before this position to it or after.
-    """
-    left, right, links = [], [], np.zeros(len(ids), np.int64)
-    for d in range(1, min(window, len(ids) - 1) + 1):
-        lo, hi = (0, len(ids) - d) if split is None else (max(0, split - d), min(split, len(ids) - d))
-        if hi <= lo:
-            continue
-        a = np.arange(lo, hi)
-        a = a[group[a] == group[a + d]]
-        hit = a[np.einsum("ij,ij->i", x[a], x[a + d]) >= threshold]
+def _window_pairs(x: np.ndarray, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs at distance up to ``window`` in order, and for each row its links on either side."""
+    left, right, links = [], [], np.zeros(len(x), np.int64)
+    for d in range(1, min(window, len(x) - 1) + 1):
+        hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-d], x[d:]) >= threshold)
         left.append(hit)
         right.append(hit + d)
-        np.add.at(links, hit, 1)
-        np.add.at(links, hit + d, 1)
+        links[hit] += 1
+        links[hit + d] += 1
     none = np.zeros(0, np.int64)
     return (np.concatenate(left) if left else none), (np.concatenate(right) if right else none), links
 
@@ -117,7 +109,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
     good = rows.where(F.col("unit").isNotNull() & F.col("vec_id").isNotNull())
     # a vector's group also holds its length; copies are folded map-side
     group = F.concat_ws("/", F.length("unit").cast("string"), F.col("label"))
-    folded = common.materialise(good.groupBy(group.alias("grp"), "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "folded")
+    folded = common.materialise(good.groupBy(group.alias("grp"), "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("mark", F.xxhash64("unit")), "folded")
     total = folded.count()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -137,77 +129,67 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
                         planes[n] = np.random.default_rng([seed, number, n]).normal(size=(n, BITS))
                     x = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(-1, n)
                     keys[at] = ((x @ planes[n]) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(keys), batch.column("rep"), batch.column("unit")], ["grp", "key", "rep", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(keys), batch.column("rep"), batch.column("mark")], ["grp", "key", "rep", "mark"])
 
         return run
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs, saturated rows, and the rows at the partition's edges."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their partition and their place in it."""
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int32()), ("grp", pa.string()), ("unit", pa.binary())])
-
-        def emit(kind, a, b, edge=None, grp=None, unit=None):
-            n = len(a)
-            none = [None] * n
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(edge or none, pa.int32()), pa.array(grp or none, pa.string()), pa.array(unit or none, pa.binary())], schema=schema)
-
-        held: list[tuple[str, int, bytes]] = []
-        fresh, first = 0, True
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            """Compare the rows held; those before ``fresh`` have met each other."""
-            nonlocal held, fresh
-            names = {g: i for i, g in enumerate(dict.fromkeys(h[0] for h in held))}
-            g = np.array([names[h[0]] for h in held])
-            ids = np.array([h[1] for h in held], np.int64)
-            for n in {len(h[2]) for h in held}:
-                same = np.array([len(h[2]) == n for h in held])
-                at = np.flatnonzero(same)
-                x = np.frombuffer(b"".join(held[i][2] for i in at), "<f8").reshape(len(at), -1)
-                left, right, links = _window_pairs(ids[at], g[at], x, window, threshold - eps)
-                real = at[right] >= fresh
-                yield emit(0, ids[at][left[real]], ids[at][right[real]])
-                yield emit(1, ids[at][links >= window // 2], ids[at][links >= window // 2])
-            held, fresh = held[-window:], min(window, len(held))
-
+        part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for grp, rep, unit in zip(batch.column("grp").to_pylist(), batch.column("rep").to_pylist(), batch.column("unit").to_pylist(), strict=True):
-                held.append((grp, rep, unit))
-                if first and len(held) == window:
-                    yield emit(2, [h[1] for h in held], list(range(window)), [part - 1] * window, [h[0] for h in held], [h[2] for h in held])
-                    first = False
-                if len(held) >= 4096:
-                    yield from flush()
-        if held:
-            if first:
-                yield emit(2, [h[1] for h in held], list(range(len(held))), [part - 1] * len(held), [h[0] for h in held], [h[2] for h in held])
-            yield from flush()
-            yield emit(2, [h[1] for h in held], list(range(-len(held), 0)), [part] * len(held), [h[0] for h in held], [h[2] for h in held])
-
-    def border(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("b")
-        ids, g = pdf["a"].to_numpy(), pdf["grp"].to_numpy()
-        split = int((pdf["b"] < 0).sum())
-        out = []
-        for n in pdf["unit"].map(len).unique():
-            at = np.flatnonzero((pdf["unit"].map(len) == n).to_numpy())
-            x = np.frombuffer(b"".join(pdf["unit"].iloc[at]), "<f8").reshape(len(at), -1)
-            left, right, _ = _window_pairs(ids[at], g[at], x, window, threshold - eps, int((at < split).sum()))
-            out.append(pd.DataFrame({"a": ids[at][left], "b": ids[at][right]}))
-        return pd.concat(out)
+            more = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(more, part, np.int32)), pa.array(np.arange(n, n + more))], [*batch.schema.names, "part", "place"])
+            n += more
+
+    # stretches of the whole order, however it was dealt; each also gets the rows that its own can meet before and after it
+    reach = window + 1
+    span = max(8 * window, min(math.ceil(total / width), 1 << 16))
+    stretches = math.ceil(total / span)
+
+    def stretched(first: dict[int, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rank = np.array([first[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("place").to_numpy()
+                own = rank // span
+                for step, copied in ((0, own >= 0), (-1, (own > 0) & (rank - own * span < reach)), (1, (own + 1 < stretches) & ((own + 1) * span - rank <= reach))):
+                    at = np.flatnonzero(copied)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[at] + step), pa.array(rank[at]), *(batch.column(c).take(pa.array(at)) for c in ("grp", "key", "rep", "mark"))], ["stretch", "rank", "grp", "key", "rep", "mark"])
+
+        return run
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Pairs and saturated rows of a stretch."""
+        table = table.sort_by("rank")
+        rank, ids = table.column("rank").to_numpy(), table.column("rep").to_numpy()
+        own = rank // span == table.column("stretch")[0].as_py()
+        grp, units = table.column("grp").to_pylist(), table.column("unit").to_pylist()
+        cuts = [0, *(i for i in range(1, len(grp)) if grp[i] != grp[i - 1]), len(grp)]
+        out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                left, right, links = _window_pairs(np.frombuffer(b"".join(units[lo:hi]), "<f8").reshape(hi - lo, -1), window, threshold - eps)
+                here, full = own[lo:hi], (links >= window // 2) & own[lo:hi]
+                # a pair is told by the stretch of its first row; two saturated rows meet in the blocks below
+                told = here[left] & ~(full[left] & full[right])
+                out += [(0, ids[lo:hi][left[told]], ids[lo:hi][right[told]]), (1, ids[lo:hi][full], ids[lo:hi][full])]
+        none = np.zeros(0, np.int64)
+        columns = [np.concatenate([none, *(np.full(len(x[1]), x[0]) for x in out)]), *(np.concatenate([none, *(x[k] for x in out)]) for k in (1, 2))]
+        return pa.table([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])], ["kind", "a", "b"])
 
     found = None
     for number in range(passes_for(total, threshold, window, recall)):
-        keyed = folded.mapInArrow(hasher(number), "grp string, key long, rep long, unit binary")
+        keyed = folded.mapInArrow(hasher(number), "grp string, key long, rep long, mark long")
         ordered = keyed.repartitionByRange(width, "grp", "key", "rep").sortWithinPartitions("grp", "key", "rep")
-        seen = common.materialise(ordered.mapInArrow(scan, "kind int, a long, b long, edge int, grp string, unit binary"), "pass")
-        edges = seen.where("kind = 2 and edge >= 0").groupBy("edge").applyInPandas(border, "a long, b long")
-        own = seen.where("kind < 2").select("kind", "a", "b").unionByName(edges.select(F.lit(0).alias("kind"), "a", "b"))
+        ordered = common.materialise(ordered.mapInArrow(counted, "grp string, key long, rep long, mark long, part int, place long"), "order")
+        first, rows_before = {}, 0
+        for part, n in sorted(ordered.groupBy("part").count().collect()):  # a row for each partition
+            first[part], rows_before = rows_before, rows_before + n
+        dealt = ordered.mapInArrow(stretched(first), "stretch long, rank long, grp string, key long, rep long, mark long").join(folded.select("grp", "rep", "mark", "unit"), ["grp", "rep", "mark"])
+        own = common.materialise(dealt.groupBy("stretch").applyInArrow(meet, "kind int, a long, b long"), "pass")
         found = own if found is None else found.unionByName(own)
+        common.release(spark)
     found = common.materialise(found.distinct(), "links")
     dense = common.materialise(found.where("kind = 1").select(F.col("a").alias("rep")).distinct(), "dense")
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

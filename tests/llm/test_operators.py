@@ -484,6 +484,23 @@ def test_neighbours_match_brute_force(spark):
     assert neighbours.near_duplicates(df.where("false")).count() == 0
 
 
+def test_neighbours_of_small_partitions(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=64)
+    rows = [hot + rng.normal(size=64) * 0.05 for _ in range(300)] + [rng.normal(size=64) for _ in range(100)]
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.98).sum(1) - 1
+    assert want[:300].min() == 299
+    df = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == dict(enumerate(want.tolist()))
+
+
 # --- pipeline ---
 
 
