@@ -6,8 +6,9 @@ compared, in double precision, with its next neighbours in a bounded window.  Wi
 whole order with the rows around them, so that partitions, however small, bound nothing.  The number of passes follows from the number of rows so that a pair
 at the threshold is met with the wanted probability.
 
-A vector whose window was full of links has more near neighbours than a window can show.  All such vectors are
-taken as a query set and compared with all rows of their label in blocks, which counts their links exactly and
+How many leading signs leave a window of rows is read off the keys of each pass; a vector whose passes, so measured, don't
+reach the wanted probability (those of a label that lie close together) may have links no pass showed.  A vector whose
+window was full of links has more near neighbours than a window can show.  All such vectors are taken as a query set and compared with all rows of their label in blocks, which counts their links exactly and
 gives a spanning forest of them, so that no window bounds a group.
 """
 
@@ -159,27 +160,47 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
 
         return run
 
+    agree = 1 - math.acos(min(1.0, threshold)) / math.pi
+
+    def missed(key: np.ndarray) -> np.ndarray:
+        """For keys of a group in order, the log10 of the chance that a pair at the threshold isn't within the window.
+
+        Rows with more leading signs in common than those just beyond the window have are within it.
+        """
+        signs = np.zeros(len(key), np.int64)
+        if len(key) > reach:
+            common_signs = BITS - np.frexp((key[:-reach] ^ key[reach:]).astype(np.float64))[1].astype(np.int64)
+            signs[:-reach] = common_signs + 1
+            signs[reach:] = np.maximum(signs[reach:], common_signs + 1)
+        met = np.where(signs > BITS, 0.0, agree**signs)
+        return np.log10(np.maximum(1 - met, 1e-9))
+
     def meet(table: pa.Table) -> pa.Table:
-        """Pairs and saturated rows of a stretch."""
+        """Pairs, saturated rows and the chances missed in a stretch."""
         table = table.sort_by("rank")
         rank, ids = table.column("rank").to_numpy(), table.column("rep").to_numpy()
         own = rank // span == table.column("stretch")[0].as_py()
         grp, units = table.column("grp").to_pylist(), table.column("unit").to_pylist()
         cuts = [0, *(i for i in range(1, len(grp)) if grp[i] != grp[i - 1]), len(grp)]
+        key, chance = table.column("key").to_numpy(), np.full(len(rank), -9.0)
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi - lo > 1:
                 left, right, links = _window_pairs(np.frombuffer(b"".join(units[lo:hi]), "<f8").reshape(hi - lo, -1), window, threshold - eps)
+                chance[lo:hi] = missed(key[lo:hi])
                 here, full = own[lo:hi], (links >= window // 2) & own[lo:hi]
                 # a pair is told by the stretch of its first row; two saturated rows meet in the blocks below
                 told = here[left] & ~(full[left] & full[right])
                 out += [(0, ids[lo:hi][left[told]], ids[lo:hi][right[told]]), (1, ids[lo:hi][full], ids[lo:hi][full])]
+        out.append((2, ids[own], ids[own]))
         none = np.zeros(0, np.int64)
         columns = [np.concatenate([none, *(np.full(len(x[1]), x[0]) for x in out)]), *(np.concatenate([none, *(x[k] for x in out)]) for k in (1, 2))]
-        return pa.table([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])], ["kind", "a", "b"])
+        chances = pa.concat_arrays([pa.nulls(len(columns[0]) - int(own.sum()), pa.float64()), pa.array(chance[own])])
+        return pa.table([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2]), chances], ["kind", "a", "b", "missed"])
 
-    found = None
-    for number in range(passes_for(total, threshold, window, recall)):
+    # as many passes as spread-out vectors need, and more while each settles a good part of the rows left
+    passes, number, found, left_before = passes_for(total, threshold, window, recall), 0, None, total
+    while True:
         keyed = folded.mapInArrow(hasher(number), "grp string, key long, rep long, mark long")
         ordered = keyed.repartitionByRange(width, "grp", "key", "rep").sortWithinPartitions("grp", "key", "rep")
         ordered = common.materialise(ordered.mapInArrow(counted, "grp string, key long, rep long, mark long, part int, place long"), "order")
@@ -187,11 +208,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
         for part, n in sorted(ordered.groupBy("part").count().collect()):  # a row for each partition
             first[part], rows_before = rows_before, rows_before + n
         dealt = ordered.mapInArrow(stretched(first), "stretch long, rank long, grp string, key long, rep long, mark long").join(folded.select("grp", "rep", "mark", "unit"), ["grp", "rep", "mark"])
-        own = common.materialise(dealt.groupBy("stretch").applyInArrow(meet, "kind int, a long, b long"), "pass")
+        own = common.materialise(dealt.groupBy("stretch").applyInArrow(meet, "kind int, a long, b long, missed double"), "pass")
         found = own if found is None else found.unionByName(own)
         common.release(spark)
-    found = common.materialise(found.distinct(), "links")
-    dense = common.materialise(found.where("kind = 1").select(F.col("a").alias("rep")).distinct(), "dense")
+        number += 1
+        if number >= passes:
+            unsure = found.where("kind = 2").groupBy("a").agg(F.sum("missed").alias("missed")).where(F.col("missed") > math.log10(1 - recall)).select(F.col("a").alias("rep"))
+            left = unsure.count()
+            if left <= total // 64 or left > 0.9 * left_before:
+                break
+            left_before = left
+    # rows that the passes may not have shown all their links are compared with all of their label, like saturated ones
+    dense = common.materialise(found.where("kind = 1").select(F.col("a").alias("rep")).unionByName(unsure).distinct(), "dense")
+    found = common.materialise(found.where("kind = 0").select("kind", "a", "b").distinct(), "links")
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # dense rows against all rows of their group, in blocks of packed vectors

@@ -501,6 +501,20 @@ def test_neighbours_of_small_partitions(spark):
     assert got == dict(enumerate(want.tolist()))
 
 
+def test_neighbours_of_a_tight_label(spark):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=64)
+    middle *= 3 / np.linalg.norm(middle)  # cosines of about 0.9 to one another
+    spread = lambda n, by: rng.normal(size=(n, 64)) / 8 * by
+    rows = middle + spread(1200, 1.0)
+    rows = np.concatenate([rows, rows[:200] + spread(200, 0.58)])
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.98).sum(1) - 1
+    assert want.sum() > 300
+    df = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    assert {r["vec_id"]: r["n_links"] for r in neighbours.near_duplicates(df, window=8).collect()} == dict(enumerate(want.tolist()))
+
+
 # --- pipeline ---
 
 
