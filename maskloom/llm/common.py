@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import sys
+import re
 import tempfile
 import uuid
 
@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only a local session that names none (tests, a laptop) gets a temporary folder; on a cluster that is an error, as
+    executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_maskloom_dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="maskloom-")
         sc.setCheckpointDir(base)
         sc._maskloom_dir = base
@@ -58,11 +61,3 @@ def release(spark: SparkSession) -> None:
     """Let shuffle files of finished steps go; they stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def forget_pieces() -> None:
-    """On a worker: drop the token caches that an earlier task left; workers are used again, and memory is theirs together."""
-    bpe = sys.modules.get("maskloom.llm.bpe")
-    if bpe is not None and bpe._encoders:
-        bpe._encoders.clear()
-        gc.collect()

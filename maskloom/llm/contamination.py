@@ -209,7 +209,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rounds: int = 16, b
     for items in item_blocks(benchmark, rounds, bits):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            common.forget_pieces()
             for batch in batches:
                 for part in slices(batch, "text"):
                     w = split_words(part.column(part.schema.get_field_index("text")), True)

@@ -35,7 +35,6 @@ def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        common.forget_pieces()
         base = TaskContext.get().partitionId() << 40
         held: list[tuple[np.ndarray, ...]] = []
         size = count = 0
@@ -89,8 +88,6 @@ class Bucket:
     """What one bucket got: for each hash its row id, and the documents at home here."""
 
     def __init__(self, table: pa.Table, value: str, extra: str = "<u1"):
-        common.forget_pieces()
-
         def joined(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 

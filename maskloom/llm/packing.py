@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.llm import common
-from maskloom.llm.bpe import encoder
+from maskloom.llm.bpe import ENCODE_BYTES, encoder
 from maskloom.llm.words import slices
 
 
@@ -149,7 +149,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, w
         encode = encoder(tokenizer).encode
         seen = [0] * (capacity + 1)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODE_BYTES):
                 ids, counts = encode(part.column(1))
                 rows, at = [], 0
                 for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm import common
-from maskloom.llm.bpe import encoder
+from maskloom.llm.bpe import ENCODE_BYTES, encoder
 from maskloom.llm.words import slices
 
 _HEAD, _META = struct.Struct("<QI"), struct.Struct("<qBB")
@@ -72,7 +72,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, p
     """Encode ``text`` and write shards in ascending ``doc_id`` order; one row per shard: shard, path, docs, tokens, base.
 
     Null texts count as empty, so such a document is its end id alone.  A null id sorts first; rows with
-    equal ids follow each other by text.  ``base`` is the number of ids in all shards before.  Other columns
+    equal ids follow each other by a hash of their text.  ``base`` is the number of ids in all shards before.  Other columns
     are ignored.  An empty table gives no shards.
     """
     from pyarrow import fs as pafs
@@ -82,7 +82,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, p
     filesystem.create_dir(root, recursive=True)
     width = partitions or max(2, common.shuffle_width(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    ordered = rows.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the text's hash spreads rows of one id over partitions
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(width, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pafs
@@ -98,7 +99,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, p
             buffer: list[bytes] = []
             held = 0
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", ENCODE_BYTES):
                     ids, counts = encode(part.column(1))
                     at = 0
                     for doc_id, n in zip(part.column(0).to_pylist(), counts.tolist(), strict=True):

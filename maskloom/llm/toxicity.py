@@ -211,7 +211,6 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataF
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.forget_pieces()
         for batch in batches:
             at = batch.schema.get_field_index("text")
             s = model.score([t or "" for t in batch.column(at).to_pylist()])

@@ -93,7 +93,7 @@ def test_lines_keep_rows_and_columns(docs, empty):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_piece_ids_are_the_tokenizers(name):
     path = public_tokenizers.path(name)
-    whole, encode = Tokenizer.from_file(path), bpe.PieceEncoder(path)
+    whole, encode = Tokenizer.from_file(path), bpe.ChunkEncoder(path)
     odd = ["", " ", "  ", " a", "a ", "a  b", "a\n\nb", "\n a", "a,b. c.\nD", "don't I'LL <|endoftext|> x", "ΑΣ ΟΔΟΣ ς", "日本語 テキスト", "é é İx", "x\x85y\x1cz", "1234 ab12,,;;", "😀 👍🏽", "a\tb \tc", "“q” t", "\x01 \x01a"]
     texts = [*odd, *(t or "" for _, t, _ in corpus())]
     for _ in range(2):  # cold and warm cache
@@ -102,6 +102,21 @@ def test_piece_ids_are_the_tokenizers(name):
         assert [p.tolist() for p in parts] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_odd_strings_are_the_tokenizers(name, monkeypatch):
+    """Strings of blanks of all kinds, controls, marks, scripts and special tokens; the table starts anew now and then."""
+    monkeypatch.setattr(bpe, "CHUNKS", 3000)
+    encode, rng = bpe.ChunkEncoder(public_tokenizers.path(name)), random.Random(8)
+    assert encode.by_model
+    parts = [*"aBzéÉ×÷İıßŉſЖйΣς1²½٣ \n\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2003\u2009\u200b\u2028\u3000.,!';-_$|<#́̇中日한ﬁÅ😀\ufeff\x00\x7f", "'s", "'ll", "n't", "the", " and", "<|endoftext|>", "<|startoftext|>", "<|", "é", "가"]
+    for _ in range(12):
+        texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000)]
+        ids, counts = encode.encode(pa.array(texts))
+        want, sizes = encode.direct(texts)
+        assert counts.tolist() == sizes.tolist()
+        assert ids.tolist() == want.tolist()
+
+
 def test_records_round_trip(spark, docs, empty, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     uri = f"file://{tmp_path}/rec"
