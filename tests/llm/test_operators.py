@@ -234,28 +234,67 @@ def test_scores_without_labels(spark, empty):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    stems = ["zorg", "blarg", "idiot", "quuxa"]
-    docs, labels = labelled(spark, lambda i: prose(12, i) + f" you {stems[i // 6 % 4]} " + prose(12, -i))
+    words_, ends = ["zorg", "quuxa", "idiot"], ["aba", "bec", "cid", "dof", "eg", "fuh", "gah", "hebb", "ich", "jok"]
+    bad = lambda i: [*words_, "blarg" + ends[i // 24 % 10]][i // 6 % 4]
+    docs, labels = labelled(spark, lambda i: prose(12, i) + f" you {bad(i)} " + prose(12, -i))
+    docs = docs.union(docs.where("doc_id = 6").withColumn("text", F.lit("fine words " * 60_000)))
     model = toxicity.fit(docs, labels)
-    learned = set(model.stems) - set(toxicity.INSULTS)
-    assert all(any(word.startswith(s) for s in learned) for word in ("zorg", "blarg", "quuxa"))
+    assert {"zorg", "quuxa", "blarg*"} <= set(model.entries)
     rows = toxicity.score_toxicity(docs, model).collect()
-    assert len(rows) == 904
+    assert len(rows) == 905
     assert all(r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == held(r["doc_id"]) for r in rows)
     got = [(r["predicted"], r["doc_id"] % 6 == 0) for r in rows if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 900]
     assert sum(a == b for a, b in got) >= 0.97 * len(got)
     kept = toxicity.reject_toxic(docs, model)
     assert kept.columns == docs.columns
     assert kept.where("doc_id >= 9000").count() == 2
+    # negated and reported insults score clearly below plain ones, and words that begin like an entry don't count
+    plain, target, negated, reported = model.score(["what an idiot.", "you are an idiot.", "you are not an idiot.", "he said she is an idiot."])
+    assert target > plain > max(negated, reported) + 0.3
+    assert model.score(["Good morning.", "Please close the door.", "We discuss training tomorrow.", "kill your speed", "idiotic zorgs, blarg"]).max() < 0.1
+
+
+def plain_sums(text, entries):
+    """The grammar's sums word by word, without machines or automaton."""
+    sums = [0.0] * 4
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        negated, reported, targeted = 0, False, False
+        for m in re.finditer(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause):
+            w, head = m.group(), re.match(r"[^\W\d_]+", m.group()).group()
+            before = clause[m.start() - 1 : m.start()] if m.start() else ""
+            own = [x for e, x in entries.items() if (head == e or e.endswith("*") and head.startswith(e[:-1]) and head != e[:-1])]
+            threat = any(re.match(re.escape(t) + r"(?![^\W\d_])", clause[m.start() :]) for t in toxicity.THREATS)
+            if (own or threat) and not before.isalpha():
+                kind = 3 if reported else 2 if negated else 1 if targeted else 0
+                sums[kind] += max([*own, *([toxicity.THREAT] if threat else [])])
+            elif w in toxicity.TARGETS:
+                targeted, negated = True, max(0, negated - 1)
+            elif w in toxicity.NEGATIONS:
+                negated = 3
+            elif w in toxicity.REPORTS:
+                reported, negated = True, max(0, negated - 1)
+            else:
+                negated = max(0, negated - 1)
+    return sums
+
+
+def test_grammar_matches_brute_force():
+    entries = {"moron": 1.0, "idiot": 1.0, "vequ*": 0.5, "los*": 0.25}
+    grammar, rng = toxicity.Grammar(entries), random.Random(12)
+    parts = ["moron", "idiot", "idiots", "vequ", "vequa", "lost", "los", "you", "she", "not", "isn't", "said", "wrote", "kill you", "kill your", "fine", "day", "a", "oxymoron", "tu", "pas", ".", "!", ";", "\n", ",", "3x", "Moron", "ÉL"]
+    for _ in range(3000):
+        text = " ".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert grammar.sums(text) == pytest.approx(plain_sums(text, entries)), text
 
 
 def test_grammar_tells_negated_and_reported_clauses():
     g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS, 1.0))
-    x = {k: dict(zip(toxicity.INPUTS, g.inputs(t), strict=True)) for k, t in {"plain": "what a moron.", "targeted": "you moron.", "negated": "you are not a moron.", "reported": "he said she is a moron.", "clean": "a fine day.", "inside": "oxymoronic words"}.items()}
-    for kind in ("plain", "targeted", "negated", "reported"):
+    x = {k: dict(zip(toxicity.KINDS, g.sums(t), strict=True)) for k, t in {"plain": "what a moron.", "targeted": "you moron.", "negated": "you are not a moron.", "reported": "he said she is a moron.", "clean": "a fine day.", "inside": "oxymoronic words", "quoted threat": "he said he would kill you"}.items()}
+    for kind in toxicity.KINDS:
         assert x[kind][kind] > 0
-        assert sum(x[kind][k] > 0 for k in ("plain", "targeted", "negated", "reported")) == 1
-    assert x["clean"]["any"] == x["inside"]["any"] == 0
+        assert sum(v > 0 for v in x[kind].values()) == 1
+    assert not any(x["clean"].values()) and not any(x["inside"].values())
+    assert x["quoted threat"]["reported"] == toxicity.THREAT
 
 
 def test_isotonic_is_monotone():
