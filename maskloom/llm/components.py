@@ -18,7 +18,10 @@ def _stars(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (least node reachable) for every node that occurs in ``edges`` (columns a, b: long)."""
+    """node, component (least node reachable) for every node that occurs in ``edges`` (columns a, b: long).
+
+    Rounds grow with the logarithm of the longest path; if they don't suffice that is an error, never a partial result.
+    """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = common.materialise(e, "edges")
     mark = None
@@ -35,5 +38,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components_unconverged_after_{rounds}_rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -23,10 +23,15 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def text_mark() -> Column:
+    """With doc_id, what tells rows apart; rows that agree in both are copies of each other."""
+    return F.xxhash64("text")
+
+
 def exploded(docs: DataFrame) -> DataFrame:
-    """doc_id, site, pos, key of every line that isn't blank."""
-    lines = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(common.text_of(), "\n", -1)).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").select("doc_id", "site", "pos", line_key(F.col("line")).alias("key"))
+    """doc_id, mark, site, pos, key of every line that isn't blank."""
+    lines = docs.select("doc_id", text_mark().alias("mark"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(common.text_of(), "\n", -1)).alias("pos", "line"))
+    return lines.where(F.trim("line") != "").select("doc_id", "mark", "site", "pos", line_key(F.col("line")).alias("key"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int) -> DataFrame:
@@ -53,25 +58,27 @@ def dedup_lines(docs: DataFrame, min_sites: int = 10) -> DataFrame:
 
     A line is boilerplate if its trimmed text stands on at least ``min_sites`` distinct sites (``source``; a
     null one counts as the site of empty name).  Its first occurrence, by doc_id (null first) and position, stays, so that no
-    content leaves the corpus; the others go.  Blank lines stay.  Null texts stay null; rows with equal doc_id
-    are treated as one document's copies and lose the same positions; an empty table gives an empty table.
+    content leaves the corpus; the others go.  Blank lines stay.  Null texts stay null; rows with equal
+    doc_id and text are copies that keep and lose the same lines, rows with equal doc_id and another text are documents of
+    their own in the order of a hash of it; an empty table gives an empty table.
     """
     own = [c for c in docs.columns if c != "lines_removed"]
     docs = docs.select(*own)
     bad = boilerplate(docs, min_sites)
-    hits = common.materialise(exploded(docs).join(bad.select("key"), "key").select("doc_id", "pos", "key"), "line-hits")
+    hits = common.materialise(exploded(docs).join(bad.select("key"), "key").select("doc_id", "mark", "pos", "key"), "line-hits")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "mark", "pos")
     # the first occurrence of each key is a minimum, aggregated map-side
-    first = common.materialise(hits.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "pos")).alias("at")), "line-firsts")
+    first = common.materialise(hits.groupBy("key").agg(F.min(place).alias("at")), "line-firsts")
     gone = (
         hits.join(first, "key")
-        .where(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "pos") != F.col("at"))
-        .groupBy(F.col("doc_id").alias("__hit_id"))
+        .where(place != F.col("at"))
+        .groupBy(F.col("doc_id").alias("__hit_id"), F.col("mark").alias("__hit_mark"))
         .agg(F.collect_set("pos").alias("__gone"))
     )
     lines = F.split("text", "\n", -1)
     kept = F.filter(F.transform(lines, lambda x, i: F.when(F.array_contains("__gone", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
     text = F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hit_id")), "left")
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (text_mark() == F.col("__hit_mark")), "left")
     removed = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("__gone"), F.lit(0)))
     out = [text.alias("text") if c == "text" else F.col(c) for c in own]
     return joined.select(*out, removed.cast("int").alias("lines_removed"))

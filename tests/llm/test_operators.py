@@ -79,6 +79,15 @@ def test_lines_match_sql(spark, docs):
     assert got["lines_removed"].sum() == 26  # two lines in 14 documents, each staying once
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [(i, "Footer line\nown " + str(i), "en", f"s{i}", 0) for i in range(9)]
+    rows += [(50, "Footer line\nzz", "en", "s1", 0), (50, "another real sentence\nyy", "en", "s1", 0), (None, "real one\nFooter line", "en", "s2", 0), (None, "real two\nreal three", "en", "s2", 0), (51, "Footer line", "en", "s", 0), (51, "Footer line", "en", "s", 0), (52, "x\n" * 30_000 + "Footer line", "en", "s", 0)]
+    got = {(r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, DOCS), min_sites=8).collect()}
+    # the null id is first, so its footer is the one that stays
+    want = {*((i, f"own {i}") for i in range(9)), (50, "zz"), (50, "another real sentence\nyy"), (None, "real one\nFooter line"), (None, "real two\nreal three"), (51, ""), (52, "x\n" * 29_999 + "x")}
+    assert got == want
+
+
 def test_lines_keep_rows_and_columns(docs, empty):
     out = lines.dedup_lines(docs, min_sites=8)
     assert out.columns == [*docs.columns, "lines_removed"]
