@@ -71,6 +71,20 @@ def discounts(frequency: dict[int, int], least: int = 1) -> np.ndarray:
     return d
 
 
+#: A bigram's follower and how often the texts of one shipment have it.
+_FOLLOWER = np.dtype([("word", "<u8"), ("times", "<u4")])
+
+
+def _counted(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct bigrams in order of context, and their followers with counts: hot ones leave a task once."""
+    order = np.lexsort((word, context))
+    a, w = context[order], word[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])])) if len(a) else np.zeros(0, np.int64)
+    out = np.empty(len(at), _FOLLOWER)
+    out["word"], out["times"] = w[at], np.diff(np.append(at, len(a)))
+    return a[at], out
+
+
 @dataclass
 class Unigrams:
     """Probabilities by count: d c / N, and what is left for a token never seen."""
@@ -95,16 +109,15 @@ class Unigrams:
         return np.where(c > 0, factor * c / max(1, self.total), self.unseen)
 
 
-def _grouped_sum(run: np.ndarray, values: np.ndarray, runs: int) -> np.ndarray:
-    return np.bincount(run, weights=values, minlength=runs)
-
-
-def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Documents whose fold is not 0 train the model.  Null texts are empty and score their end; repeated rows are
     documents of their own, a null doc_id is a document in the fold of the text ``null``; other columns are ignored; an empty table
     gives no rows.  With no training document at all score and base_score are those of a model that knows nothing.
+
+    The texts are read three times.  A table of files gives its rows in the same order each time; where ``docs`` is derived and
+    doesn't, so that the numbers of two reads belong to other rows, the result is an error and never another text's score.
     """
     spark = docs.sparkSession
     buckets = common.shuffle_width(spark)
@@ -116,39 +129,37 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         trains = ~part.column("held").to_numpy(zero_copy_only=False)
         return owner, h, (h & np.uint64(0xFFFFFFFFFFFFFFFE)) | trains[owner].astype(np.uint64), None
 
-    sums = [f"m{r}" for r in range(SMALL + 1)]
-
     def unigram_count(table: pa.Table) -> pa.Table:
         b = packed.Bucket(table, "<u8")
         value, trains = b.hash >> np.uint64(1), (b.hash & np.uint64(1)).astype(bool)
         types, which = np.unique(value, return_inverse=True)
         count = np.bincount(which[trains], minlength=len(types)).astype(np.int64)
-        c = count[which]
-        runs = len(b.ids)
         known = count > 0
-        columns = [_grouped_sum(b.run, c == r, runs) for r in range(SMALL + 1)]
-        columns += [_grouped_sum(b.run, c > SMALL, runs), _grouped_sum(b.run, np.where(c > SMALL, np.log10(np.maximum(c, 1)), 0.0), runs), _grouped_sum(b.run, np.log10(c + 0.1), runs)]
         number = int(table.column("bucket")[0].as_py())
         few = np.bincount(np.minimum(count[known], SMALL + 2), minlength=SMALL + 3)[: SMALL + 3].astype(np.int64)
-        home = packed.summed(b, columns, number, buckets)
-        n = len(home)
+        # each token's count, by document, on its way home
+        home = packed.answered(b, np.diff(b.first), [count[which].astype("<u4")], number, buckets)
+        n = home.num_rows
 
         def ended(kind: pa.DataType, value) -> pa.Array:
             return pa.concat_arrays([pa.nulls(n, kind), pa.array([value], kind)])
 
-        # the sums of documents on their way home; last, with home -1, the bucket's table and totals
-        return pa.table({
-            "home": pa.array([*(x[0] for x in home), -1], pa.int32()),
-            **{name: pa.array([*(x[k] for x in home), None], pa.binary()) for k, name in enumerate(("keys", "sums", "docs"), 1)},
+        # last, with home -1, the bucket's table and totals
+        last = {"home": [-1], "keys": [None], "sizes": [None], "answers": [None], "docs": [None]}
+        whole = pa.concat_tables([home, pa.table(last, home.schema)])
+        more = {
             "bucket": pa.array(np.full(n + 1, number, np.int32)),
-            "types": ended(pa.binary(), (types[known] << np.uint64(1)).astype("<u8").tobytes()),
-            "counts": ended(pa.binary(), count[known].astype("<i8").tobytes()),
+            "types": ended(pa.binary(), packed.press((types[known] << np.uint64(1)).astype("<u8"))),
+            "counts": ended(pa.binary(), packed.press(count[known].astype("<i8"))),
             "few": ended(pa.list_(pa.int64()), few.tolist()),
             "total": ended(pa.int64(), int(count.sum())),
             "size": ended(pa.int64(), int(known.sum())),
-        })
+        }
+        for name, column in more.items():
+            whole = whole.append_column(name, column)
+        return whole
 
-    schema = packed.SUMMED + ", bucket int, types binary, counts binary, few array<long>, total long, size long"
+    schema = packed.ANSWERED + ", bucket int, types binary, counts binary, few array<long>, total long, size long"
     uni = common.materialise(packed.deal(rows, buckets, unigram_make).groupBy("bucket").applyInArrow(unigram_count, schema), "unigrams")
     common.release(spark)
     totals = uni.where("home = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
@@ -156,22 +167,21 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
 
     # 2. training bigrams by context, one packed row per bucket, and its followers by the bucket of their unigram counts
     def bigram_make(part: pa.RecordBatch):
-        # whose a bigram is doesn't matter here; in order of context they take less room on their way
+        # whose a bigram is doesn't matter here; counted, and in order of context, they take less room on their way
         _, context, h = bigrams(part.column("text"))
-        order = np.argsort(context)
-        context, h = context[order], h[order]
-        return np.zeros(len(h), np.int64), context, context.astype("<u4"), h.astype("<u8")
+        context, followers = _counted(context, h)
+        return np.zeros(len(context), np.int64), context, context.astype("<u4"), followers
 
     train = rows.where(~F.col("held"))
 
     def bigram_count(table: pa.Table) -> pa.Table:
-        b = packed.Bucket(table, "<u4", "<u8")
+        b = packed.Bucket(table, "<u4", _FOLLOWER)
         number = int(table.column("bucket")[0].as_py())
-        order = np.lexsort((b.extra, b.hash))
-        a, w = b.hash[order], b.extra[order]
+        order = np.lexsort((b.extra["word"], b.hash))
+        a, w, times = b.hash[order], b.extra["word"][order], b.extra["times"][order].astype(np.int64)
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (w[1:] != w[:-1])]) if len(a) else np.zeros(0, bool)
         at = np.flatnonzero(new)
-        count = np.diff(np.concatenate([at, [len(a)]]))
+        count = np.add.reduceat(times, at) if len(at) else np.zeros(0, np.int64)
         a, w = a[at], w[at]
         contexts, which = np.unique(a, return_inverse=True)
         total = np.bincount(which, weights=count, minlength=len(contexts)).astype(np.int64)
@@ -190,13 +200,13 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         n = len(sent)
 
         def ended(value: np.ndarray, kind: str) -> pa.Array:
-            return pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([value.astype(kind).tobytes()], pa.binary())])
+            return pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([packed.press(value.astype(kind))], pa.binary())])
 
         # last, with home -1, the bucket's bigrams
         return pa.table({
             "bucket": pa.array(np.full(n + 1, number, np.int32)),
             "home": pa.array(np.append(sent, -1).astype(np.int32)),
-            "words": pa.array([*(words[bounds[h] : bounds[h + 1]].astype("<u8").tobytes() for h in sent), None], pa.binary()),
+            "words": pa.array([*(packed.press(words[bounds[h] : bounds[h + 1]].astype("<u8")) for h in sent), None], pa.binary()),
             "counts": ended(count[keep], "<i8"),
             "places": ended(rank[place], "<u4"),
             "names": ended(contexts[stored], "<u4"),
@@ -206,31 +216,33 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         })
 
     answer = "bucket int, home int, words binary, counts binary"
-    bi = common.materialise(packed.deal(train, buckets, bigram_make).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>"), "bigrams")
+    counted = packed.deal(train, buckets, bigram_make, packed.SEND_BYTES).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>")
+    bi, path = common.materialise_parts(counted.withColumn("asks", (F.col("home") >= 0).cast("int")), "bigrams", "asks")
     common.release(spark)
-    seen = bi.where("home = -1").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
+    seen = bi.where("asks = 0").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     d = discounts({r: seen[r - 1] for r in range(1, SMALL + 2)}, min_count)
 
     # unigram counts of the followers: requests meet the unigram tables in their buckets, and take the upper halves of the words along
     tables = uni.where("home = -1").select(F.col("bucket").alias("home"), "types", "counts")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        types = np.frombuffer(b"".join(right.column("types").to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), "<i8")
+        types, counts = packed.unpress(right.column("types"), "<u8"), packed.unpress(right.column("counts"), "<i8")
         upper, answers = [], []
         for raw in left.column("words").to_pylist():
-            own = np.frombuffer(raw, "<u8")
+            own = packed.unpress(pa.array([raw]), "<u8")
             word = own & np.uint64(0xFFFFFFFFFFFFFFFE)
             got = np.zeros(len(word), np.int64)
             if len(types):
                 at = np.minimum(np.searchsorted(types, word), len(types) - 1)
                 got = np.where(types[at] == word, counts[at], 0)
-            upper.append((own >> np.uint64(32)).astype("<u4").tobytes())
-            answers.append(got.astype("<i8").tobytes())
+            upper.append(packed.press((own >> np.uint64(32)).astype("<u4")))
+            answers.append(packed.press(got.astype("<i8")))
         return pa.table([left.column("bucket"), left.column("home"), pa.array(upper, pa.binary()), pa.array(answers, pa.binary())], ["bucket", "home", "words", "counts"])
 
-    priced = bi.where("home >= 0").select("bucket", "home", "words").groupBy("home").cogroup(tables.groupBy("home")).applyInArrow(look_up, answer)
-    model = bi.where("home = -1").drop("few").unionByName(common.materialise(priced, "follower-counts"), allowMissingColumns=True)
+    priced = bi.where("asks = 1").select("bucket", "home", "words").groupBy("home").cogroup(tables.groupBy("home")).applyInArrow(look_up, answer)
+    priced = common.materialise(priced, "follower-counts")
+    common.discard(spark, f"{path}/asks=1")  # the questions are answered; their room is needed
+    model = common.read_parts(spark, path, bi.schema).where("asks = 0").drop("few", "asks").unionByName(priced, allowMissingColumns=True)
     common.release(spark)
 
     # 3. backoff weights and gains of a bucket
@@ -240,7 +252,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
         homes = table.column("home").to_numpy()
 
         def joined(name: str, kind: str, own: bool) -> np.ndarray:
-            return np.frombuffer(b"".join(table.filter(pa.array((homes < 0) == own)).column(name).to_pylist()), kind)
+            return packed.unpress(table.filter(pa.array((homes < 0) == own)).column(name), kind)
 
         names, sizes, n = joined("names", "<u4", True), joined("sizes", "<i8", True), joined("counts", "<i8", True)
         if not len(names):
@@ -274,22 +286,39 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 2) -> DataFra
             own = b.hash.astype(np.uint64) << np.uint64(32) | b.extra.astype(np.uint64)
             at = np.minimum(np.searchsorted(key, own), len(key) - 1)
             value += np.where(key[at] == own, gain[at], 0.0)
-        number = int(left.column("bucket")[0].as_py()) if len(left) else -1
-        home = packed.summed(b, [_grouped_sum(b.run, value, len(b.ids))], -1, buckets) if number >= 0 else []
-        return pa.table([pa.array([x[0] for x in home], pa.int32()), *(pa.array([x[k] for x in home], pa.binary()) for k in (1, 2, 3))], ["home", "keys", "sums", "docs"])
+        if not len(left):
+            return pa.schema([("home", pa.int32()), *((c, pa.binary()) for c in ("keys", "sizes", "answers", "docs"))]).empty_table()
+        value = np.bincount(b.run, weights=value, minlength=len(b.ids))
+        return packed.answered(b, np.ones(len(b.ids), np.int64), [value.astype("<f8")], int(left.column("bucket")[0].as_py()), buckets)
+
+    def higher_sums(table: pa.Table) -> pa.Table:
+        home = packed.Home.of(table, "<f8")
+        return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, "n": pa.array(home.n), "value": pa.array(home.sums(home.values[0]))})
 
+    sums = [f"m{r}" for r in range(SMALL + 1)]
     names = [*sums, "big", "log_big", "log_base"]
-    scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.SUMMED)
-    higher = common.materialise(scored.groupBy("home").applyInArrow(lambda t: packed.sum_up(t, ["value"]), "row long, value double"), "bigram-sums")
+
+    def lower_sums(table: pa.Table) -> pa.Table:
+        """How many tokens of each document have each small training count, and sums of logarithms over its tokens."""
+        home = packed.Home.of(table, "<u4")
+        c = home.values[0].astype(np.int64)
+        big = c > SMALL
+        columns = [home.sums(c == r) for r in range(SMALL + 1)] + [home.sums(big), home.sums(np.where(big, np.log10(np.maximum(c, 1)), 0.0)), home.sums(np.log10(c + 0.1))]
+        return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, **dict(zip(names, columns, strict=True))})
+
+    scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.ANSWERED)
+    higher = common.materialise(scored.groupBy("home").applyInArrow(higher_sums, "row long, doc_id long, n long, value double"), "bigram-sums")
     common.release(spark)
-    lower = uni.where("home >= 0").select("home", "keys", "sums", "docs").groupBy("home").applyInArrow(lambda t: packed.sum_up(t, names), "row long, doc_id long, " + ", ".join(f"{c} double" for c in names))
+    lower = uni.where("home >= 0").select("home", "keys", "sizes", "answers", "docs").groupBy("home").applyInArrow(lower_sums, "row long, doc_id long, " + ", ".join(f"{c} double" for c in names))
     logs = [float(np.log10(unigrams.unseen))] + [float(np.log10(unigrams.probability(np.array([r]))[0])) if unigrams.total else 0.0 for r in range(1, SMALL + 1)]
     n_tokens = sum((F.col(c) for c in sums), F.col("big"))
     base = float(np.log10(unigrams.total + 0.1 * (unigrams.types + 1)))
     unit = float(np.log10(unigrams.d[0] / max(1, unigrams.total)))
     p1 = sum((F.col(c) * F.lit(x) for c, x in zip(sums, logs, strict=True)), F.col("log_big") + F.col("big") * F.lit(unit))
-    out = lower.join(higher, "row")
-    return out.select(
+    higher = higher.select("row", F.col("doc_id").alias("same_id"), "n", "value")
+    met = F.col("n").isNotNull() & F.col("same_id").eqNullSafe(F.col("doc_id")) & (F.col("n") == n_tokens)
+    value = F.when(met, F.col("value")).otherwise(F.raise_error(F.lit("texts_changed_between_reads")))
+    return lower.join(higher, "row", "left").select(
         "doc_id", (common.fold("doc_id", folds) == 0).alias("held_out"), n_tokens.cast("long").alias("n_tokens"), (n_tokens - F.col("m0")).cast("long").alias("n_known"),
-        F.lit(unigrams.total).cast("long").alias("train_tokens"), (F.col("log_base") - n_tokens * F.lit(base)).alias("base_score"), (p1 + F.col("value")).alias("score"),
+        F.lit(unigrams.total).cast("long").alias("train_tokens"), (F.col("log_base") - n_tokens * F.lit(base)).alias("base_score"), (p1 + value).alias("score"),
     )

@@ -9,20 +9,35 @@ map partition and a counter; all that follows is derived from one written table,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from maskloom.llm import common
-from maskloom.llm.words import ragged, slices
+from maskloom.llm.words import SLICE_BYTES, ragged, slices
 
 SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashes binary, extra binary"
 #: Bytes of text from which a task sends what it holds.
 SEND_BYTES = 8 << 20
 
 
-def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]) -> DataFrame:
+def press(values: np.ndarray) -> bytes:
+    """Numbers as bytes by significance, compressed: sorted or small ones take little room in a shuffle."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
+    return zstandard.ZstdCompressor(level=1).compress(raw.T.tobytes())
+
+
+def unpress(rows: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    """The numbers of all rows one after another; null and empty rows hold none."""
+    kind, tool = np.dtype(kind), zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(tool.decompress(x), np.uint8).reshape(kind.itemsize, -1).T.copy().view(kind).ravel() for x in rows.to_pylist() if x]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Rows of ``SENT`` from ``rows`` with doc_id and text, and perhaps key.
 
     ``make`` gives for a slice of rows: the row each hash belongs to, the hash, the number that is sent for it, and a
@@ -48,7 +63,7 @@ def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[n
             to = bucket_of(h, buckets)
             order = np.argsort(to.astype(np.uint32), kind="stable")
             bounds = np.searchsorted(to[order], np.arange(buckets + 1))
-            lives = home[:, 0] % buckets
+            lives = (home[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             columns: list[list] = [[], [], [], [], [], [], []]
             local = {} if not keyed else dict(zip(home[:, 0].tolist(), np.where(home[:, 2] == 1, 2**63 - 1, home[:, 1]).tolist(), strict=True))
             for b in range(buckets):
@@ -58,15 +73,15 @@ def deal(rows: DataFrame, buckets: int, make: Callable[[pa.RecordBatch], tuple[n
                     continue
                 o = owner[at]
                 cut = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
-                names_of = np.array([local[x] for x in o[cut].tolist()], "<i8").tobytes() if keyed else b""
-                values = (b, o[cut].astype("<i8").tobytes(), names_of, own.astype("<i8").tobytes(), np.diff(np.concatenate([cut, [len(o)]])).astype("<i4").tobytes(), value[at].tobytes(), b"" if extra is None else extra[at].tobytes())
+                names_of = press(np.array([local[x] for x in o[cut].tolist()], "<i8")) if keyed else b""
+                values = (b, press(o[cut].astype("<i8")), names_of, press(own.astype("<i8").ravel()), press(np.diff(np.concatenate([cut, [len(o)]])).astype("<i4")), press(value[at]), b"" if extra is None else press(extra[at]))
                 for c, v in zip(columns, values, strict=True):
                     c.append(v)
             names = ["bucket", "ids", "owners", "docs", "counts", "hashes", "extra"]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_bytes):
                 owner, h, value, extra = make(part)
                 n = part.num_rows
                 ids = part.column("key").to_numpy() if keyed else base + count + np.arange(n)
@@ -89,7 +104,7 @@ class Bucket:
 
     def __init__(self, table: pa.Table, value: str, extra: str = "<u1"):
         def joined(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+            return unpress(table.column(name), kind)
 
         self.ids, counts = joined("ids", "<i8"), joined("counts", "<i4")
         self.run = np.repeat(np.arange(len(self.ids), dtype=np.int32), counts)
@@ -127,7 +142,7 @@ def homed(b: Bucket, at: np.ndarray, values: np.ndarray, bucket: int, homes: int
         own = order[bounds[h] : bounds[h + 1]]
         if len(own):
             got = values[ragged(first[own], counts[own])].astype("<i4")
-            row = (h, b.ids[runs[own]].astype("<i8").tobytes(), b.owners[runs[own]].astype("<i8").tobytes(), counts[own].astype("<i4").tobytes(), np.full(len(own), bucket, "<i4").tobytes(), got.tobytes())
+            row = (h, press(b.ids[runs[own]].astype("<i8")), press(b.owners[runs[own]].astype("<i8")), press(counts[own].astype("<i4")), press(np.full(len(own), bucket, "<i4")), press(got))
             for c, v in zip(columns, row, strict=True):
                 c.append(v)
     return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["home", "keys", "owners", "counts", "buckets", "values"])
@@ -138,7 +153,7 @@ def come_home(table: pa.Table) -> pa.Table:
 
     Rows that are repeated as they are have the same key and the same entries.
     """
-    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    joined = lambda name, kind: unpress(table.column(name), kind)
     counts = joined("counts", "<i4")
     key, owner, bucket = (np.repeat(joined(c, k), counts) for c, k in (("keys", "<i8"), ("owners", "<i8"), ("buckets", "<i4")))
     value = joined("values", "<i4")
@@ -153,33 +168,49 @@ def come_home(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[first]), "owner": pa.array(owner[first]), "bucket": lists(bucket[once], run, n, pa.int32()), "at": lists(value[once], run, n, pa.int32())})
 
 
-SUMMED = "home int, keys binary, sums binary, docs binary"
+ANSWERED = "home int, keys binary, sizes binary, answers binary, docs binary"
 
 
-def summed(b: Bucket, columns: list[np.ndarray], bucket: int, homes: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """A number of each column for each run, on the way to the homes of the runs' rows; documents at home here go along."""
+def answered(b: Bucket, sizes: np.ndarray, values: list[np.ndarray], bucket: int, homes: int) -> pa.Table:
+    """Numbers for each run of a bucket, ``sizes`` of them, on the way to the homes of the runs' rows; documents at home here go along.
+
+    A home gets one row from a bucket: the runs' rows, how many numbers each has, and the numbers, first all of the
+    first array, then of the next.
+    """
     home = (b.ids.view(np.uint64) % np.uint64(homes)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     bounds = np.searchsorted(home[order], np.arange(homes + 1))
-    matrix = np.stack(columns, 1).astype("<f8")
-    out = []
+    first = np.cumsum(sizes) - sizes
+    columns: list[list] = [[], [], [], [], []]
     for h in range(homes):
         own = order[bounds[h] : bounds[h + 1]]
-        docs = b.docs.astype("<i8").tobytes() if h == bucket else b""
+        docs = h == bucket and len(b.docs)
         if len(own) or docs:
-            out.append((h, b.ids[own].astype("<i8").tobytes(), matrix[own].tobytes(), docs))
-    return out
-
-
-def sum_up(table: pa.Table, names: list[str]) -> pa.Table:
-    """One row per document of a home: row, doc_id (null where it was) and the sums; without ``docs``, row and the sums alone."""
-    joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    keys, sums, docs = joined("keys", "<i8"), joined("sums", "<f8").reshape(-1, len(names)), joined("docs", "<i8").reshape(-1, 4)
-    rows, at = np.unique(keys, return_inverse=True)
-    total = {name: np.bincount(at, weights=sums[:, k], minlength=len(rows)) for k, name in enumerate(names)}
-    if not len(docs):
-        return pa.table({"row": pa.array(rows), **total})
-    order = np.argsort(docs[:, 0])
-    docs = docs[order]
-    where = np.searchsorted(rows, docs[:, 0])
-    return pa.table({"row": pa.array(docs[:, 0]), "doc_id": pa.array(docs[:, 1], mask=docs[:, 2] == 1), **{k: v[where] for k, v in total.items()}})
+            at = ragged(first[own], sizes[own])
+            row = (h, press(b.ids[own].astype("<i8")), press(sizes[own].astype("<u4")), press(np.concatenate([v[at] for v in values])), press(b.docs.astype("<i8").ravel()) if docs else None)
+            for c, v in zip(columns, row, strict=True):
+                c.append(v)
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["home", "keys", "sizes", "answers", "docs"])
+
+
+@dataclass
+class Home:
+    """What one home got: its documents by ascending row id, and the place among them and the numbers of each answer."""
+
+    rows: np.ndarray
+    doc_ids: pa.Array
+    n: np.ndarray
+    place: np.ndarray
+    values: list[np.ndarray]
+
+    @classmethod
+    def of(cls, table: pa.Table, kind, arrays: int = 1) -> Home:
+        keys, sizes, docs = unpress(table.column("keys"), "<i8"), unpress(table.column("sizes"), "<u4").astype(np.int64), unpress(table.column("docs"), "<i8").reshape(-1, 4)
+        docs = docs[np.argsort(docs[:, 0])]
+        parts = [unpress(table.column("answers").slice(i, 1), kind).reshape(arrays, -1) for i in range(table.num_rows)]
+        values = np.concatenate([*parts, np.zeros((arrays, 0), kind)], 1)
+        place = np.searchsorted(docs[:, 0], np.repeat(keys, sizes))
+        return cls(docs[:, 0], pa.array(docs[:, 1], mask=docs[:, 2] == 1), docs[:, 3], place, list(values))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, weights=values, minlength=len(self.rows))
