@@ -1,19 +1,20 @@
 """N-gram Jaccard join (operator 5): a prefix-tree join over globally ordered shingle sets.
 
-1. Shingle sets are dealt to hash buckets (``packed``) which give each shingle its document frequency.  Shingles of
-   one document can't be shared, so a document whose shared shingles are fewer than the threshold demands is
+1. Shingle sets are dealt to hash buckets (``packed``) which give each shingle its document frequency and send the shared
+   ones home, packed, a row for each bucket and home.  Shingles of one document can't be shared, so a document whose shared shingles are fewer than the threshold demands is
    done.  The global order is by frequency, rare first, then by hash.
 2. Equal sets are folded into one.  Sets that share a shingle within their prefixes - the only ones that can
    reach the threshold - are grouped; no set is sent to more than one place for that.
 3. Within a group the sets are stored in a trie of ordered shingles; a set walks down the trie with the overlap
    so far, shared by all sets below a node, and leaves a subtree when the overlap still possible by the lengths
    remaining can't reach what the sizes demand.
-4. A group larger than a task should hold is first compared with its most central set; the sets linked to that
+4. A group larger than a task should hold is cut into bands of sizes; what is still too large is first compared with its most central set; the sets linked to that
    one are connected and need not meet each other.  The rest meets the whole group in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,37 +124,49 @@ def join_block(left: list[tuple[int, int, list]], right: list[tuple[int, int, li
     return edges
 
 
-def shared_shingles(docs: DataFrame, size: int) -> DataFrame:
-    """From the buckets: kind 0, one row per document (row, doc_id, n); kind 1, its shared shingles of one bucket with frequencies."""
+def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per document: row, doc_id, n (set size), m (shingles it shares), items and central.
+
+    ``items`` are its shared shingles in the global order, rare first, and ``central`` their mean frequency; both are null
+    where so few are shared that no other set can reach ``percent``.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    buckets = packed.buckets_for(rows)
 
     def make(part: pa.RecordBatch):
         owner, h = shingle_hashes(part.column("text"), size)
         return owner, h, h, None
 
     def count(table: pa.Table) -> pa.Table:
+        """The shared shingles of each document in this bucket, with their frequencies, on their way home."""
         b = packed.Bucket(table, "<u8")
         order = np.argsort(b.hash, kind="stable")
         h = b.hash[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         times = np.diff(np.concatenate([new, [len(h)]]))
-        df = np.empty(len(h), np.int64)
+        df = np.empty(len(h), np.uint64)
         df[order] = np.repeat(times, times)
-        at = np.flatnonzero(df > 1)
-        runs, run = np.unique(b.run[at], return_inverse=True)
-        n, m = len(b.docs), len(runs)
-        none = pa.nulls(n, pa.list_(pa.int64()))
-        return pa.table({
-            "kind": pa.array(np.repeat([0, 1], [n, m]), pa.int32()),
-            "row": pa.array(np.concatenate([b.docs[:, 0], b.ids[runs]])),
-            "doc_id": pa.concat_arrays([pa.array(b.docs[:, 1], mask=b.docs[:, 2] == 1), pa.nulls(m, pa.int64())]),
-            "n": pa.concat_arrays([pa.array(b.docs[:, 3]), pa.nulls(m, pa.int64())]),
-            "hashes": pa.concat_arrays([none, packed.lists(b.hash[at].view(np.int64), run, m, pa.int64())]),
-            "df": pa.concat_arrays([none, packed.lists(df[at], run, m, pa.int64())]),
-        })
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-    sent = packed.deal(rows, common.shuffle_width(docs.sparkSession), make)
-    return common.materialise(sent.groupBy("bucket").applyInArrow(count, "kind int, row long, doc_id long, n long, hashes array<long>, df array<long>"), "shared-shingles")
+        shared = df > 1
+        sizes = np.bincount(b.run[shared], minlength=len(b.ids))
+        return packed.answered(b, sizes, [b.hash[shared], df[shared]], int(table.column("bucket")[0].as_py()), buckets)
+
+    def gather(table: pa.Table) -> pa.Table:
+        home = packed.Home.of(table, "<u8", 2)
+        h, df = home.values
+        m = np.bincount(home.place, minlength=len(home.rows))
+        enough = (m > 0) & (100 * m >= percent * home.n)
+        keep = enough[home.place]
+        place, h, df = home.place[keep], h[keep], df[keep]
+        order = np.lexsort((h, df, place))
+        bounds = np.concatenate([[0], np.cumsum(np.where(enough, m, 0))])
+        items = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h[order].view(np.int64)), mask=pa.array(~enough))
+        central = np.bincount(place, weights=df.astype(float), minlength=len(home.rows)) / np.maximum(home.n, 1)
+        return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, "n": pa.array(home.n), "m": pa.array(m), "items": items, "central": pa.array(central, mask=~enough)})
+
+    homes = packed.deal(rows, buckets, make).groupBy("bucket").applyInArrow(count, packed.ANSWERED)
+    out = common.materialise(homes.groupBy("home").applyInArrow(gather, "row long, doc_id long, n long, m long, items array<long>, central double"), "shared-shingles")
+    common.release(docs.sparkSession)
+    return out
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -165,18 +178,13 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     repeated doc_id are documents of their own; a null doc_id takes part, and is a component's id only if no
     other is there.  Other columns are ignored; an empty table gives no rows.
     """
-    got = shared_shingles(docs, size)
-    every = got.where("kind = 0").select("row", "doc_id", "n")
-    shared = got.where("kind = 1").select("row", "hashes", "df")
-    gathered = shared.groupBy("row").agg(F.sum(F.size("hashes")).alias("m"), F.flatten(F.collect_list(F.arrays_zip(F.col("df").alias("df"), F.col("hashes").alias("h")))).alias("items"))
-    gathered = gathered.join(every.select("row", "n"), "row").where(F.col("m") * 100 >= F.col("n") * percent)
-    ordered = gathered.select("row", "n", "m", F.array_sort("items").alias("items"))
+    got = shared_sets(docs, size, percent)
+    every = got.select("row", "doc_id", "n")
     same = F.when(F.col("m") == F.col("n"), F.lit(-1)).otherwise(F.col("row"))
-    keyed = ordered.select("row", "n", "m", "items", F.struct("n", F.xxhash64("items"), F.xxhash64(F.lit(7), "items"), same).alias("key"))
-    keyed = common.materialise(keyed, "candidates")
+    keyed = got.where(F.col("items").isNotNull()).select("row", "n", "m", "items", "central", F.struct("n", F.xxhash64("items"), F.xxhash64(F.lit(7), "items"), same).alias("key"))
     folded = common.materialise(keyed.groupBy("key").agg(F.min("row").alias("rep")), "folded-sets")
     members = common.materialise(keyed.select("row", "key").join(folded, "key").select("row", "rep"), "members")
-    sets = keyed.join(folded.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "m", F.transform("items", lambda x: x["h"]).alias("items"), (F.aggregate("items", F.lit(0.0), lambda a, x: a + x["df"]) / F.col("n")).alias("central"))
+    sets = keyed.join(folded.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), "n", "m", "items", "central")
     sets = common.materialise(sets, "sets")
     # prefix: a set of n must share one of its first n - ceil(percent n / 100) + 1; those of one document come first
     prefix = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - (F.col("n") - F.col("m"))).cast("int")
@@ -195,16 +203,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
 
 def _group_edges(grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the links within each group connect."""
+    """Links (a, b) that connect what the links within each group connect; ``grp`` tells groups, ``rep`` sets."""
     spark = grouped.sparkSession
     total = grouped.agg(F.sum(F.size("items"))).first()[0] or 0
     most = max(BLOCK_SHINGLES, total // (2 * common.shuffle_width(spark)))
-    sizes = common.materialise(grouped.groupBy("grp").agg(F.sum(F.size("items")).alias("t"), F.count("*").alias("c")).where("c > 1"), "group-sizes")
+    # groups too large for a task fall apart by size: sets that link are of one band or of two neighbours
+    own = F.floor(F.log("n") / F.lit(math.log(100 / percent) * 1.001))
+    whole = common.materialise(grouped.groupBy("grp").agg((F.sum(F.size("items")) > most).alias("banded"), F.count("*").alias("c")).where("c > 1").drop("c"), "groups")
+    banded = grouped.join(whole, "grp").withColumn("own", own).withColumn("band", F.explode(F.when(F.col("banded"), F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array(F.lit(None).cast("long")))))
+    grouped = banded.select(F.concat_ws("/", F.col("grp").cast("string"), F.col("band").cast("string")).alias("grp"), "rep", "n", "m", "items", "central", (F.col("band").isNull() | (F.col("band") == F.col("own"))).alias("native"))
+    sizes = common.materialise(grouped.groupBy("grp").agg(F.sum(F.size("items")).alias("t"), F.count("*").alias("c"), F.bool_or("native").alias("any")).where("c > 1 and any").drop("any"), "group-sizes")
     rows = grouped.join(sizes, "grp")
     small, large = rows.where(F.col("t") <= most), rows.where(F.col("t") > most)
     # the most central set of each large group; at most total / most of them
-    best = large.groupBy("grp").agg(F.max(F.struct("central", "rep")).alias("top")).select(F.col("top.rep").alias("rep"))
-    pivots = grouped.join(best, "rep", "left_semi").select("grp", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("items").alias("pitems"))
+    best = large.groupBy("grp").agg(F.max(F.struct("central", "rep")).alias("top")).select("grp", F.col("top.rep").alias("rep"))
+    pivots = grouped.join(best, ["grp", "rep"], "left_semi").select("grp", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("items").alias("pitems"))
     pivots = common.materialise(pivots, "pivots")
     o = F.size(F.array_intersect("items", "pitems"))
     tested = large.join(pivots, "grp").withColumn("hit", (F.col("rep") == F.col("pivot")) | (o * (100 + percent) >= (F.col("n") + F.col("pn")) * percent))

@@ -120,8 +120,8 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
     doesn't, so that the numbers of two reads belong to other rows, the result is an error and never another text's score.
     """
     spark = docs.sparkSession
-    buckets = common.shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"), (common.fold("doc_id", folds) == 0).alias("held"))
+    buckets = packed.buckets_for(rows)
 
     # 1. unigrams; the lowest bit of what is sent tells training tokens
     def unigram_make(part: pa.RecordBatch):
@@ -160,11 +160,28 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         return whole
 
     schema = packed.ANSWERED + ", bucket int, types binary, counts binary, few array<long>, total long, size long"
-    uni = common.materialise(packed.deal(rows, buckets, unigram_make).groupBy("bucket").applyInArrow(unigram_count, schema), "unigrams")
+    counted = packed.deal(rows, buckets, unigram_make).groupBy("bucket").applyInArrow(unigram_count, schema)
+    uni, path = common.materialise_parts(counted.withColumn("own", (F.col("home") < 0).cast("int")), "unigrams", "own")
     common.release(spark)
-    totals = uni.where("home = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
+    totals = uni.where("own = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), *(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     unigrams = Unigrams.of({r: totals[r + 1] for r in range(1, SMALL + 2)}, totals[0], totals[1])
 
+    sums = [f"m{r}" for r in range(SMALL + 1)]
+    names = [*sums, "big", "log_big", "log_base"]
+
+    def lower_sums(table: pa.Table) -> pa.Table:
+        """How many tokens of each document have each small training count, and sums of logarithms over its tokens."""
+        home = packed.Home.of(table, "<u4")
+        c = home.values[0].astype(np.int64)
+        big = c > SMALL
+        columns = [home.sums(c == r) for r in range(SMALL + 1)] + [home.sums(big), home.sums(np.where(big, np.log10(np.maximum(c, 1)), 0.0)), home.sums(np.log10(c + 0.1))]
+        return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, **dict(zip(names, columns, strict=True))})
+
+    lower = uni.where("own = 0").select("home", "keys", "sizes", "answers", "docs").groupBy("home").applyInArrow(lower_sums, "row long, doc_id long, " + ", ".join(f"{c} double" for c in names))
+    lower = common.materialise(lower, "unigram-sums")
+    common.discard(spark, f"{path}/own=0")
+    uni = common.read_parts(spark, path, uni.schema).where("own = 1")
+
     # 2. training bigrams by context, one packed row per bucket, and its followers by the bucket of their unigram counts
     def bigram_make(part: pa.RecordBatch):
         # whose a bigram is doesn't matter here; counted, and in order of context, they take less room on their way
@@ -223,7 +240,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
     d = discounts({r: seen[r - 1] for r in range(1, SMALL + 2)}, min_count)
 
     # unigram counts of the followers: requests meet the unigram tables in their buckets, and take the upper halves of the words along
-    tables = uni.where("home = -1").select(F.col("bucket").alias("home"), "types", "counts")
+    tables = uni.select(F.col("bucket").alias("home"), "types", "counts")
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         types, counts = packed.unpress(right.column("types"), "<u8"), packed.unpress(right.column("counts"), "<i8")
@@ -295,21 +312,9 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         home = packed.Home.of(table, "<f8")
         return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, "n": pa.array(home.n), "value": pa.array(home.sums(home.values[0]))})
 
-    sums = [f"m{r}" for r in range(SMALL + 1)]
-    names = [*sums, "big", "log_big", "log_base"]
-
-    def lower_sums(table: pa.Table) -> pa.Table:
-        """How many tokens of each document have each small training count, and sums of logarithms over its tokens."""
-        home = packed.Home.of(table, "<u4")
-        c = home.values[0].astype(np.int64)
-        big = c > SMALL
-        columns = [home.sums(c == r) for r in range(SMALL + 1)] + [home.sums(big), home.sums(np.where(big, np.log10(np.maximum(c, 1)), 0.0)), home.sums(np.log10(c + 0.1))]
-        return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, **dict(zip(names, columns, strict=True))})
-
     scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.ANSWERED)
     higher = common.materialise(scored.groupBy("home").applyInArrow(higher_sums, "row long, doc_id long, n long, value double"), "bigram-sums")
     common.release(spark)
-    lower = uni.where("home >= 0").select("home", "keys", "sizes", "answers", "docs").groupBy("home").applyInArrow(lower_sums, "row long, doc_id long, " + ", ".join(f"{c} double" for c in names))
     logs = [float(np.log10(unigrams.unseen))] + [float(np.log10(unigrams.probability(np.array([r]))[0])) if unigrams.total else 0.0 for r in range(1, SMALL + 1)]
     n_tokens = sum((F.col(c) for c in sums), F.col("big"))
     base = float(np.log10(unigrams.total + 0.1 * (unigrams.types + 1)))

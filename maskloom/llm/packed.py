@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from maskloom.llm import common
 from maskloom.llm.words import SLICE_BYTES, ragged, slices
@@ -24,6 +25,15 @@ SENT = "bucket int, ids binary, owners binary, docs binary, counts binary, hashe
 SEND_BYTES = 8 << 20
 
 
+#: Bytes of text for which a hash bucket is made: what a bucket holds doesn't grow with the corpus.
+BUCKET_BYTES = 8 << 20
+
+
+def buckets_for(rows: DataFrame) -> int:
+    """Buckets for the ``text`` of all rows, at least as many as there are shuffle partitions."""
+    return max(common.shuffle_width(rows.sparkSession), (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+
+
 def press(values: np.ndarray) -> bytes:
     """Numbers as bytes by significance, compressed: sorted or small ones take little room in a shuffle."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
