@@ -31,6 +31,8 @@ from maskloom.llm.words import mix, split_words
 
 #: Counts up to so many are discounted.
 SMALL = 5
+#: Turns in which texts are scored; each reads all texts and a share of the buckets.
+TURNS = 2
 END = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -233,7 +235,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         })
 
     answer = "bucket int, home int, words binary, counts binary"
-    counted = packed.deal(train, buckets, bigram_make, packed.SEND_BYTES).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>")
+    counted = packed.deal(train, buckets, bigram_make).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>")
     bi, path = common.materialise_parts(counted.withColumn("asks", (F.col("home") >= 0).cast("int")), "bigrams", "asks")
     common.release(spark)
     seen = bi.where("asks = 0").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
@@ -287,9 +289,11 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         gain = np.log10(q * scale[which]) - alpha[which] - np.log10(p)
         return names, alpha, names[which].astype(np.uint64) << np.uint64(32) | upper, gain
 
-    # 4. every bigram of every document against its bucket's table
-    def score_make(part: pa.RecordBatch):
+    # 4. every bigram of every document against its bucket's table; in turns, as the bigrams of all texts at once take much disk
+    def score_make(part: pa.RecordBatch, turn: int):
         owner, context, h = bigrams(part.column("text"))
+        own = packed.bucket_of(context, buckets) % TURNS == turn
+        owner, context, h = owner[own], context[own], h[own]
         # in the tables' order: context, then the follower's upper half; 32 bits tell followers of one context apart
         return owner, context, context.astype("<u4"), (h >> np.uint64(32)).astype("<u4")
 
@@ -312,9 +316,14 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         home = packed.Home.of(table, "<f8")
         return pa.table({"row": pa.array(home.rows), "doc_id": home.doc_ids, "n": pa.array(home.n), "value": pa.array(home.sums(home.values[0]))})
 
-    scored = packed.deal(rows, buckets, score_make).groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.ANSWERED)
-    higher = common.materialise(scored.groupBy("home").applyInArrow(higher_sums, "row long, doc_id long, n long, value double"), "bigram-sums")
-    common.release(spark)
+    higher = None
+    for turn in range(TURNS):
+        dealt = packed.deal(rows, buckets, lambda part, turn=turn: score_make(part, turn))
+        scored = dealt.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, packed.ANSWERED)
+        own = common.materialise(scored.groupBy("home").applyInArrow(higher_sums, "row long, doc_id long, n long, value double"), "bigram-sums")
+        higher = own if higher is None else higher.unionByName(own)
+        common.release(spark)
+    higher = higher.groupBy("row", "doc_id").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
     logs = [float(np.log10(unigrams.unseen))] + [float(np.log10(unigrams.probability(np.array([r]))[0])) if unigrams.total else 0.0 for r in range(1, SMALL + 1)]
     n_tokens = sum((F.col(c) for c in sums), F.col("big"))
     base = float(np.log10(unigrams.total + 0.1 * (unigrams.types + 1)))
