@@ -29,10 +29,13 @@ IBAN_SPECS = {
     "PL": (28, "[0-9]{24}"),
     "PT": (25, "[0-9]{21}"),
 }
+# Check letters of the Spanish identifier.
 DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+# Printed form and odd-place values of the Italian fiscal code.
 FISCAL = "[A-Z]{6}[0-9LMNPQRSTUV]{2}[ABCDEHLMPRST][0-9LMNPQRSTUV]{2}[A-Z][0-9LMNPQRSTUV]{3}[A-Z]"
 #: Values of the characters 0-9, then A-Z, at odd places of an Italian tax code.
 FISCAL_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+# Prefixes that are never given out.
 NINO_REFUSED = ("BG", "GB", "KN", "NK", "NT", "TN", "ZZ")
 _DIGITS_LETTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -58,9 +58,8 @@ def labelled_spans(text: Column, pattern: str, label: str, keep=None) -> Column:
 def render(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its label in brackets; spans are ordered and disjoint."""
     text = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), s["label"], F.lit("]")).alias("out"), s["end"].alias("pos"))
-
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+    # where each piece begins: after the span before; the last one has no span of its own
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    tail = lambda at: F.substring(text, at + 1, F.length(text))
+    piece = lambda s, at: F.when(s.isNull(), tail(at)).otherwise(F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("["), s["label"], F.lit("]")))
+    return F.array_join(F.zip_with(spans, begins, piece), "")

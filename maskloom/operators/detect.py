@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from maskloom.functions import checks
 from maskloom.functions.rx import EMAIL, IBAN, find_spans, labelled_spans, render
+from maskloom.operators import fixed
 from maskloom.operators.intervals import greedy
 
 _EDGE, _EDGE_AFTER = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
@@ -52,11 +53,20 @@ DETECTORS: dict[str, Detector] = {
 DEFAULT_DETECTORS = tuple(name for name, d in DETECTORS.items() if d.default)
 
 
+#: Characters before an identifier where a business key is looked for, and a text that ends in one.
+_NEAR = 120
+_AFTER_KEY = r"(?iU)(?<!\w)(?:" + "|".join(k.replace(" ", r"\s+") for k in fixed.listed(fixed.BUSINESS_KEYS)) + r")(?:[ \t-]*(?:" + "|".join(fixed.listed(fixed.NUMBER_WORDS)) + r")[.°º]?)?(?!\w)[\s:=#]*$"
+
+
 def identifier_spans(text: Column, enabled: tuple[str, ...] = DEFAULT_DETECTORS) -> Column:
-    """Valid identifiers of the enabled detectors: array of (start, end, label, detector)."""
+    """Valid identifiers of the enabled detectors: array of (start, end, label, detector).
+
+    What stands directly after the key of a business value (``order:``, ``invoice number:``) is none.
+    """
+    before = lambda m: F.substring(text, F.greatest(m["start"] - _NEAR, F.lit(0)) + 1, F.least(m["start"], F.lit(_NEAR)))
 
     def found(name: str, d: Detector) -> Column:
-        hits = F.filter(find_spans(text, d.pattern), lambda m: d.status(m["value"]) == "valid")
+        hits = F.filter(find_spans(text, d.pattern), lambda m: (d.status(m["value"]) == "valid") & ~before(m).rlike(_AFTER_KEY))
         return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(d.label).alias("label"), F.lit(name).alias("detector")))
 
     return F.concat(*(found(name, DETECTORS[name]) for name in enabled))

@@ -1,8 +1,9 @@
 """Values that a field name announces: "Passport no: C01X00T47" and the like, in five languages.
 
-Finding where such a value ends depends on what was read so far, so this is one Arrow function per batch, with
-Python's regular expressions for exact word semantics; it returns spans only.  Checksums, protection and the rest of
-arbitration follow as built-in functions over those spans.
+A text is read once into a list of tokens (words, numbers, blanks, signs); names are looked up in a tree of their words, and
+small readers then take a serial, a date, an age, a telephone number or an IBAN from the token after.  Where a value
+ends depends on what was read so far, so this is one Arrow function per batch, for the texts that hold a digit at
+all; it returns spans only.  Checksums, protection and the rest of arbitration follow as built-in functions over those spans.
 """
 
 from __future__ import annotations
@@ -17,132 +18,318 @@ from pyspark.sql import types as T
 
 from maskloom.functions import checks
 from maskloom.functions.rx import EMAIL, IBAN, labelled_spans, render
+from maskloom.operators import fixed
 from maskloom.operators.detect import DEFAULT_DETECTORS, identifier_spans
 from maskloom.operators.intervals import promoted_label
 
-# Field names by label (spaces stand for any run of blanks).
-FIELD_NAMES: dict[str, tuple[str, ...]] = {
-    "ACCOUNTNUM": ("kontonummer", "konto", "konto-nr", "bank account", "account", "compte bancaire", "compte", "numéro de compte", "conto corrente", "conto", "numero di conto", "cuenta bancaria", "cuenta", "número de cuenta"),
-    "CREDITCARDNUMBER": ("credit card", "debit card", "card", "kreditkarte", "kreditkartennummer", "kartennummer", "carte bancaire", "numéro de carte", "carta di credito", "carta di debito", "tarjeta de crédito", "tarjeta de débito", "tarjeta"),
-    "DRIVERLICENSENUM": ("führerschein", "führerscheinnummer", "driving licence", "driving license", "driver's license", "driver license", "driving permit", "permis de conduire", "patente di guida", "patente", "permiso de conducir"),
-    "IBAN": ("iban",),
-    "IDCARDNUM": ("personalausweis", "personalausweisnummer", "ausweis-nr", "id card", "national id card", "identity card", "carte d'identité", "cni", "carta d'identità", "dni", "nie", "nif"),
-    "PASSPORTNUM": ("reisepass", "reisepassnummer", "pass-nr", "passport", "passeport", "numéro de passeport", "passaporto", "numero di passaporto", "pasaporte", "número de pasaporte"),
-    "PERSONALREF": ("kundennummer", "kunden-nr", "customer", "client", "numéro de client", "codice cliente", "número de cliente", "aktenzeichen", "case", "patient", "patienten", "paziente", "paciente", "membership", "mitgliedsnummer"),
-    "SOCIALNUM": ("svnr", "sozialversicherungsnummer", "ahv", "ahv-nummer", "nir", "sécurité sociale", "numéro de sécurité sociale", "previdenza", "seguridad social", "social security", "nss", "nuss", "ssn", "national insurance", "ni number"),
-    "TAXNUM": ("steuer-id", "idnr", "steuernummer", "steueridentifikationsnummer", "tax id", "tax identification", "taxpayer id", "tax reference", "numéro fiscal", "número fiscal", "numero fiscal", "identifiant fiscal", "codice fiscale"),
-    "TELEPHONENUM": ("phone", "telephone", "téléphone", "tel", "tél", "telefon", "telefonnummer", "rufnummer", "mobil", "mobile", "mobilnummer", "cell", "cellulare", "telefono", "teléfono", "móvil", "handy", "fax"),
-}
-#: What may follow a field name.
-SUFFIXES = ("number", "nummer", "numéro", "numero", "número", "no.", "no", "nr.", "nr", "n°", "id", "code", "ref")
-#: Keys of business values; an identifier directly after one isn't a person's.
-BUSINESS_NAMES = ("invoice", "order", "product", "sku", "rechnung", "rechnungsnummer", "bestellung", "artikel", "facture", "commande", "produit", "fattura", "ordine", "prodotto", "factura", "pedido", "producto", "room", "zimmer", "salle", "stanza", "habitación", "price", "preis", "prix", "prezzo", "precio", "date", "datum", "quantity", "menge")
-BIRTH_NAMES = ("date of birth", "birth date", "birthdate", "birthday", "birth", "dob", "geburtsdatum", "geboren am", "geboren", "date de naissance", "naissance", "né le", "née le", "data di nascita", "nascita", "nato il", "nata il", "fecha de nacimiento", "nacimiento", "nacido el", "nacida el", "born on", "born")
-AGE_NAMES = ("aged", "age", "alter", "âge", "età", "edad")
-AGE_UNITS = ("years", "year", "jahre", "jahr", "ans", "anni", "años")
-OBJECT_NAMES = ("product", "produkt", "produit", "prodotto", "producto", "warranty", "garantie", "duration", "durée", "machine", "maschine", "equipment")
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december", "januar", "februar", "märz", "mai", "juni", "juli", "oktober", "dezember", "janvier", "février", "mars", "avril", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre", "gennaio", "febbraio", "marzo", "aprile", "maggio", "giugno", "luglio", "agosto", "settembre", "ottobre", "dicembre", "enero", "febrero", "abril", "mayo", "junio", "julio", "septiembre", "octubre", "noviembre", "diciembre")
-EXTENSIONS = ("extension", "ext.", "ext", "x", "durchwahl", "dw", "poste", "interno", "int", "anexo", "#")
-NOT_SERIAL = ("OK", "EUR", "USD", "CHF", "GBP", "AND", "UND", "ET", "THE", "FOR", "DER", "DIE", "DAS", "VON", "MIT", "DEL", "DES", "LES", "NEXT", "THEN", "NO", "NR", "NIF", "DNI")
-#: National significant digits by country code, of the eight regions.
-PHONE_PLAN = {"1": (10, 10), "33": (9, 9), "34": (9, 9), "39": (6, 11), "41": (9, 9), "43": (4, 13), "44": (9, 10), "49": (5, 13)}
-#: Bounds of a serial: characters from its start, core characters, separators in a row, letters of a first and later group without digits.
-SERIAL = {"span": 100, "core": 34, "separators": 12, "first": 6, "later": 3}
-
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("context", T.StringType())]))
-_SEPARATORS = " \t\r\n  .\\-/‐‑–"
-
-
-def _any(names: tuple[str, ...]) -> str:
-    return "|".join(re.escape(n).replace(r"\ ", r"\s+").replace(r"\-", "[ -]*").replace("'", "['’]") for n in sorted(names, key=len, reverse=True))
-
-
-def _word(body: str) -> str:
-    return rf"(?<!\w)(?:{body})(?!\w)"
-
-
-_SUFFIX = rf"(?:[ \t-]*(?:{_any(SUFFIXES)}))?"
-_FIELD = re.compile(_word("|".join(f"(?P<{label}>(?:{_any(names)}){_SUFFIX}\\.?)" for label, names in FIELD_NAMES.items())), re.I)
-_BUSINESS = re.compile(rf"(?<!\w)(?:{_any(BUSINESS_NAMES)}){_SUFFIX}[\s:=#]*\Z", re.I)
-_GAP = re.compile(r"[\s:=#]*")
-_BIRTH = re.compile(_word(_any(BIRTH_NAMES)) + r"[ \t]*(?:[:=][ \t]*|\r?\n[ \t]*)?", re.I)
-_DATE = re.compile(rf"(?:\d{{4}}[ \t]*(?P<a>[-/.·])[ \t]*\d{{1,2}}[ \t]*(?P=a)[ \t]*\d{{1,2}}|\d{{1,2}}[ \t]*(?P<b>[-/.·])[ \t]*\d{{1,2}}[ \t]*(?P=b)[ \t]*\d{{2,4}}|\d{{1,2}}\.?[ \t]+(?:{_any(MONTHS)})[ \t]+\d{{4}}|(?:{_any(MONTHS)})[ \t]+\d{{1,2}},?[ \t]+\d{{4}})(?!\w)", re.I)
-_AGE = re.compile(_word(_any(AGE_NAMES)) + rf"[ \t]*(?:(?:[:=]|is|ist|est|è|es|beträgt)[ \t]*)?(?:\r?\n[ \t]*)?(?P<value>[0-9]{{1,3}}(?![0-9])(?:[ \t]+(?:{_any(AGE_UNITS)})(?!\w))?)(?!\w)", re.I)
-_OBJECT = re.compile(rf"(?<!\w)(?:{_any(OBJECT_NAMES)})(?:['’]s)?[ \t]+\Z", re.I)
-_GROUP = re.compile(rf"([A-Za-z0-9]+)([{_SEPARATORS}]{{0,{SERIAL['separators']}}})")
-_PHONE = re.compile(r"(?<![A-Za-z0-9])(?:\((?:\+|00)[0-9]{1,3}\)[ \t]*|\+|\()?[0-9][0-9() \t  .\-]{4,94}[0-9)](?![A-Za-z0-9])")
-_EXTENSION = re.compile(rf"[ \t,;/-]*(?:{_any(EXTENSIONS)})\.?[ \t:=.-]*[0-9]{{1,8}}(?![0-9])", re.I)
-_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
-
-
-def serial_end(text: str, start: int) -> int:
-    """Where a serial that begins here ends; ``start`` if there is none.
-
-    A serial is groups of letters and digits with separators between: groups without a digit are short, upper case and
-    no common word; it ends before the next field, a key, or a blank line, and needs two digits and three characters.
-    """
-    end, core, digits, at = start, 0, 0, start
-    while at - start <= SERIAL["span"] and (m := _GROUP.match(text, at)):
-        group = m.group(1)
-        numbers = sum(c.isdigit() for c in group)
-        word = not numbers and (not group.isupper() or group in NOT_SERIAL or len(group) > SERIAL["first" if end == start else "later"])
-        if word or core + len(group) > SERIAL["core"] or text[m.end(1) : m.end(1) + 1] in (":", "=") or _FIELD.match(text, at):
-            break
-        end, core, digits, at = m.end(1), core + len(group), digits + numbers, m.end()
-        if "\n\n" in m.group(2) or not m.group(2):
+#: Longest serial in characters, its letters and digits, and separators in a row; letters of a first and of a later group without digits.
+SERIAL_SPAN, SERIAL_CORE, SERIAL_GAP, FIRST_LETTERS, LATER_LETTERS = 100, 34, 12, 6, 3
+#: Characters around an ambiguous name where other evidence counts.
+BEFORE, AFTER = 240, 160
+PHONE_PLAN = fixed.PHONE_PLAN
+
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.S)
+_JOINTS = frozenset("-‐‑–.'’\"")
+_SEPARATORS = frozenset(" \t\r\n\u00a0\u202f.-/‐‑–")
+_APOSTROPHES = str.maketrans("’", "'")
+
+
+def _words(name: str) -> tuple[str, ...]:
+    return tuple(re.findall(r"[^\W\d_]+|[°º]", name.lower()))
+
+
+def _tree(names: dict[str, str]) -> dict:
+    """Nested dictionaries of the names' words; the empty word leads to what a name means."""
+    root: dict = {}
+    for name, meaning in names.items():
+        node = root
+        for w in _words(name):
+            node = node.setdefault(w, {})
+        node[""] = meaning
+    return root
+
+
+def _field_names() -> dict[str, str]:
+    """Meaning by name: the label, with the marks of names that need more around them."""
+    out = {}
+    for line in fixed.FIELDS.split("\n"):
+        label, _, names = line.partition(":")
+        for name in fixed.listed(names) if names else ():
+            plain = name.strip("[]*")
+            out[plain] = label + "".join(mark for mark in "[*" if mark in name)
+    return out
+
+
+_FIELDS = _tree(_field_names())
+_BIRTHS = _tree(dict.fromkeys(fixed.listed(fixed.BIRTH_WORDS), "birth"))
+_BUSINESS = _tree(dict.fromkeys(fixed.listed(fixed.BUSINESS_KEYS), "business"))
+_NUMBERS = frozenset(fixed.listed(fixed.NUMBER_WORDS))
+_PERSONAL, _AGES, _LINKS, _UNITS, _THINGS = (frozenset(fixed.listed(x)) for x in (fixed.PERSONAL_WORDS, fixed.AGE_WORDS, fixed.AGE_LINKS, fixed.AGE_UNITS, fixed.AGED_THINGS))
+_EXTENSIONS = frozenset(fixed.listed(fixed.EXTENSIONS))
+_NOT_SERIAL = frozenset(fixed.NOT_SERIAL.split())
+_MONTHS = frozenset(fixed.MONTHS.split())
+
+
+class Reader:
+    """The tokens of a text, and readers that start at a token; a reader gives the token after what it took, or None."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.tokens = _TOKEN.findall(text)
+        self.low = [t.lower() for t in self.tokens]
+        self.at = [0]
+        for t in self.tokens:
+            self.at.append(self.at[-1] + len(t))
+        self.fields: dict[int, tuple[str, int]] = {}  # by first token: meaning, token after
+        i = 0
+        while i < len(self.tokens):
+            found = self.name(_FIELDS, i) if self.starts_word(i) else None
+            if found:
+                self.fields[i] = found
+                i = found[1]
+            else:
+                i += 1
+
+    def kind(self, i: int) -> str:
+        """a word, 0 number, blank, or the sign itself; nothing beyond the text."""
+        if not 0 <= i < len(self.tokens):
+            return ""
+        c = self.tokens[i][0]
+        return "a" if c.isalpha() else "0" if c in "0123456789" else " " if c.isspace() else c
+
+    def starts_word(self, i: int) -> bool:
+        return (self.kind(i) in ("a", "°")) and self.kind(i - 1) not in ("a", "0", "_")
+
+    def name(self, tree: dict, i: int) -> tuple[str, int] | None:
+        """The longest name that begins here, a number word after it included: its meaning and the token after."""
+        best, node, j, lines = None, tree, i, 0
+        while True:
+            node = node.get(self.low[j]) if j < len(self.tokens) and self.kind(j) in ("a", "°", "º") else None
+            if node is None:
+                break
+            j += 1
+            if "" in node and self.kind(j) not in ("a", "0", "_"):
+                best = node[""], j
+            # between two words of a name stand blanks, a line end at most, or a joint
+            while j < len(self.tokens) and (self.kind(j) == " " or self.tokens[j] in _JOINTS) and lines < 2:
+                lines += self.tokens[j].count("\n")
+                j += 1
+        if best is None:
+            return None
+        j = best[1]
+        while self.kind(j) == "-" or self.kind(j) == " " and "\n" not in self.tokens[j]:
+            j += 1
+        if self.kind(j) == "a" and self.low[j] in _NUMBERS and self.kind(j + 1) not in ("a", "0", "_"):
+            end = j + 1
+            while self.tokens[end : end + 1] and self.tokens[end] in ".°º":
+                end += 1
+            if self.low[j] != "n" or end > j + 1:
+                return best[0], end
+        return best[0], best[1] + (self.kind(best[1]) == ".")
+
+    def gap(self, i: int) -> int:
+        """The token after blanks and link signs."""
+        while i < len(self.tokens) and self.kind(i) in (" ", ":", "=", "#"):
+            i += 1
+        return i
+
+    def serial(self, i: int) -> int | None:
+        """Groups of letters and digits with separators between.
+
+        A group without a digit is short, in capitals and no common word.  A serial ends before the next field or key and
+        at a blank line, and has two digits and three characters at least.
+        """
+        start, core, digits, end = i, 0, 0, None
+        while i < len(self.tokens) and self.at[i] - self.at[start] <= SERIAL_SPAN:
+            j = i
+            while self.kind(j) == "0" or self.kind(j) == "a" and self.tokens[j].isascii():
+                j += 1
+            group = "".join(self.tokens[i:j])
+            numbers = sum(c.isdigit() for c in group)
+            most = FIRST_LETTERS if end is None else LATER_LETTERS
+            if not group or core + len(group) > SERIAL_CORE or i in self.fields or self.kind(j) in (":", "=", "a", "_"):
+                break
+            if not numbers and (group != group.upper() or group in _NOT_SERIAL or len(group) > most):
+                break
+            end, core, digits, i = j, core + len(group), digits + numbers, j
+            while i < len(self.tokens) and all(c in _SEPARATORS for c in self.tokens[i]):
+                i += 1
+            between = self.text[self.at[end] : self.at[i]]
+            if not between or len(between) > SERIAL_GAP or "\n\n" in between:
+                break
+        return end if digits >= 2 and core >= 3 else None
+
+    def number(self, i: int, least: int, most: int) -> bool:
+        return self.kind(i) == "0" and least <= len(self.tokens[i]) <= most
+
+    def blanks(self, i: int, line_end: bool = False) -> int:
+        return i + 1 if self.kind(i) == " " and (line_end or "\n" not in self.tokens[i]) else i
+
+    def date(self, i: int) -> int | None:
+        """Day, month and year as numbers with one sign between, or with the month's name."""
+        if self.kind(i) == "a":  # May 3, 1985
+            j = self.blanks(i + 1)
+            if self.low[i] not in _MONTHS or j == i + 1 or not self.number(j, 1, 2):
+                return None
+            j = j + 2 if self.kind(j + 1) == "," else j + 1
+            k = self.blanks(j)
+            return k + 1 if k > j and self.number(k, 4, 4) else None
+        if not self.number(i, 1, 4):
+            return None
+        j = self.blanks(i + 1)
+        sign = self.kind(j)
+        if sign == "." and self.low[(k := self.blanks(j + 1)) : k + 1] and self.low[k] in _MONTHS:  # 3. Mai 1985
+            j, sign = k, "a"
+        if sign == "a":
+            k = self.blanks(j + 1)
+            return k + 1 if self.low[j] in _MONTHS and j > i + 1 and k > j + 1 and self.number(i, 1, 2) and self.number(k, 4, 4) else None
+        if sign not in ("-", "/", ".", "·"):
+            return None
+        month = self.blanks(j + 1)
+        second = self.blanks(month + 1)
+        last = self.blanks(second + 1)
+        whole = self.number(month, 1, 2) and self.kind(second) == sign
+        by_year = self.number(i, 4, 4) and self.number(last, 1, 2)
+        by_day = self.number(i, 1, 2) and self.number(last, 2, 4)
+        return last + 1 if whole and (by_year or by_day) and self.kind(last + 1) not in ("a", "_") else None
+
+    def age(self, i: int) -> tuple[int, int] | None:
+        """First token and the one after of an age that the word here announces."""
+        if i >= 2 and self.blanks(i - 1) == i:
+            owner = i - 4 if i >= 4 and self.low[i - 2] == "s" and self.tokens[i - 3] in "'’" else i - 2
+            if self.low[owner] in _THINGS:
+                return None
+        j = self.blanks(i + 1)
+        if self.kind(j) in (":", "=") or self.kind(j) == "a" and self.low[j] in _LINKS:
+            j += 1
+        j = self.blanks(j, line_end=True)
+        if not self.number(j, 1, 3) or self.kind(j + 1) in ("a", "_"):
+            return None
+        unit = self.blanks(j + 1)
+        return j, unit + 1 if unit > j + 1 and self.kind(unit) == "a" and self.low[unit] in _UNITS else j + 1
+
+    def extension(self, i: int) -> int | None:
+        """``ext. 12`` and the like."""
+        while self.kind(i) in (",", ";", "/", "-") or self.kind(i) == " " and "\n" not in self.tokens[i]:
+            i += 1
+        if i >= len(self.tokens) or self.low[i] not in _EXTENSIONS:
+            return None
+        i += 1
+        while self.kind(i) in (".", ":", "=", "-") or self.kind(i) == " " and "\n" not in self.tokens[i]:
+            i += 1
+        return i + 1 if self.number(i, 1, 8) else None
+
+    def phone(self, i: int) -> tuple[int, bool] | None:
+        """Digits with blanks, points, hyphens and brackets between, from a digit, a plus or a bracket on: the token after, and whether they are as many as a number has."""
+        j, end = i, None
+        while self.kind(j) in ("0", "(", ")", ".", "-") or self.kind(j) == "+" and (j == i or j == i + 1 and self.kind(i) == "(") or self.kind(j) == " " and "\n" not in self.tokens[j]:
+            if self.kind(j) == "0" or self.kind(j) == ")":
+                end = j + 1
+            j += 1
+        if end is None or self.kind(end) == "a" or self.kind(i - 1) in ("a", "0"):
+            return None
+        return end, 7 <= sum(len(t) for t in self.tokens[i:end] if t[0] in "0123456789") <= 17
+
+    def coded(self, i: int, end: int) -> bool:
+        """Whether letters hang on to the tokens, as in a part number."""
+        for j, step in ((i - 1, -1), (end, 1)):
+            while self.kind(j) in ("a", "0", "_", ".", "-", "/", "‐", "‑"):
+                if self.kind(j) == "a":
+                    return True
+                j += step
+        return False
+
+    def business_before(self, i: int) -> bool:
+        """Whether a business key stands directly before this token."""
+        while i > 0 and self.kind(i - 1) in (" ", ":", "=", "#"):
+            i -= 1
+        return any(self.starts_word(j) and (found := self.name(_BUSINESS, j)) is not None and found[1] >= i for j in range(max(0, i - 8), i))
+
+    def person_near(self, i: int) -> bool:
+        """Whether the block of text around an ambiguous name speaks of a person's documents, by a word or another field."""
+        lo, hi = max(0, self.at[i] - BEFORE), self.at[i] + AFTER
+        lo = max(lo, self.text.rfind("\n\n", 0, self.at[i]) + 1)
+        blank = self.text.find("\n\n", self.at[i])
+        hi = min(hi, blank if blank >= 0 else len(self.text))
+        near = range(next(k for k in range(len(self.at)) if self.at[k] >= lo), i), range(i + 1, len(self.tokens))
+        documents = ("PASSPORTNUM", "IDCARDNUM", "DRIVERLICENSENUM", "TAXNUM", "SOCIALNUM")
+        return any(self.low[k] in _PERSONAL or self.fields.get(k, ("",))[0] in documents for part in near for k in part if self.at[k] < hi)
+
+
+def _iban(reader: Reader, i: int) -> int | None:
+    """An IBAN of a known country that begins with this word, in groups of any kind; the token after."""
+    spec = checks.IBAN_SPECS.get(reader.text[reader.at[i] : reader.at[i] + 2].upper())
+    if spec is None:
+        return None
+    core, j = "", i
+    while j < len(reader.tokens) and len(core) < spec[0]:
+        t = reader.tokens[j]
+        if reader.kind(j) in ("a", "0") and t.isascii():
+            core += t
+        elif not (len(t) <= 6 and all(c in _SEPARATORS and c not in "/\r\n" for c in t)):
             break
-    return end if digits >= 2 and core >= 3 else start
-
-
-def _after_business(text: str, start: int) -> bool:
-    return bool(_BUSINESS.search(text, max(0, start - 120), start))
+        j += 1
+    whole = len(core) == spec[0] and reader.kind(j) not in ("a", "0") and reader.kind(j - 1) in ("a", "0")
+    return j if whole and core[2:4].isdigit() and re.fullmatch(spec[1], core[4:].upper()) else None
 
 
 def phone_possible(value: str) -> bool:
     """Whether the digits fit the plan of one of the regions, written internationally or nationally."""
-    extension = _EXTENSION.search(value)
-    digits = re.sub(r"\(0\)", "", value[: extension.start()] if extension else value)
-    international = re.match(r"\(?(?:\+|00)", digits.strip()) is not None
-    digits = re.sub(r"\D", "", digits)
-    if international:
+    reader = Reader(value)
+    cut = next((i for i in range(len(reader.tokens)) if reader.extension(i)), len(reader.tokens))
+    digits = value[: reader.at[cut]].replace("(0)", "").strip()
+    abroad = digits.lstrip("(").startswith(("+", "00"))
+    digits = "".join(c for c in digits if c in "0123456789")
+    if abroad:
         digits = digits.removeprefix("00")
         return any(digits.startswith(code) and low <= len(digits) - len(code) <= high for code, (low, high) in PHONE_PLAN.items())
-    national = digits[1:] if digits.startswith("0") else digits
+    national = digits.removeprefix("0")
     return any(low <= len(national) <= high for low, high in PHONE_PLAN.values())
 
 
 def field_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, label, context) of all announced values of a text."""
+    r = Reader(text)
     out: list[tuple[int, int, str, str]] = []
     anchors = set()
-    for cue in _FIELD.finditer(text):
-        if len(cue.group().splitlines()) > 2:
+
+    def found(i: int, end: int, label: str, context: str) -> None:
+        out.append((r.at[i], r.at[end], label, context))
+
+    for i, (meaning, after) in r.fields.items():
+        label, start = meaning.strip("[*"), r.gap(after)
+        linked = start > after and any(r.kind(k) in (":", "=") for k in range(after, start)) or r.low[after - 1] in _NUMBERS or r.tokens[after - 1] in ".°º"
+        if "[" in meaning and not linked or "*" in meaning and not r.person_near(i):
             continue
-        start = _GAP.match(text, cue.end()).end()
-        if cue.lastgroup == "TELEPHONENUM":
+        if label == "TELEPHONENUM":
             anchors.add(start)
-        elif (end := serial_end(text, start)) > start:
-            out.append((start, end, cue.lastgroup, "personal"))
-    for cue in _BIRTH.finditer(text):
-        if date := _DATE.match(text, cue.end()):
-            out.append((*date.span(), "DATEOFBIRTH", "personal"))
-    for m in _AGE.finditer(text):
-        if not _OBJECT.search(text, max(0, m.start() - 50), m.start()):
-            out.append((*m.span("value"), "AGE", "personal"))
-    for head in _IBAN_HEAD.finditer(text):
-        if spec := checks.IBAN_SPECS.get(head.group()[:2].upper()):
-            m = re.compile(rf"(?:[A-Za-z0-9][{_SEPARATORS.replace('/', '')}]{{0,6}}){{{spec[0] - 1}}}[A-Za-z0-9](?![A-Za-z0-9])").match(text, head.start())
-            if m and "\n" not in m.group() and re.fullmatch(spec[1], re.sub(f"[{_SEPARATORS}]", "", m.group()).upper()[4:]):
-                out.append((*m.span(), "IBAN", "unknown"))
-    for m in _PHONE.finditer(text):
-        extension = _EXTENSION.match(text, m.end())
-        start, end = m.start(), extension.end() if extension else m.end()
-        anchored = start in anchors
-        run = re.search(r"[\w.\-/‐‑]*\Z", text[max(0, start - 60) : start]).group() + re.match(r"[\w.\-/‐‑]*", text[end:]).group()
-        if not 7 <= sum(c.isdigit() for c in m.group()) <= 17 or any(c.isalpha() for c in run) or not anchored and (_after_business(text, start) or _DATE.fullmatch(m.group())):
+        elif (end := r.serial(start)) is not None:
+            found(start, end, label, "personal")
+    i = 0
+    while i < len(r.tokens):
+        if r.starts_word(i):
+            if birth := r.name(_BIRTHS, i):
+                j = r.blanks(birth[1])
+                j = r.blanks(j + 1) if r.kind(j) in (":", "=") else r.blanks(j, line_end=True)
+                if (end := r.date(j)) is not None:
+                    found(j, end, "DATEOFBIRTH", "personal")
+            if r.low[i] in _AGES and (age := r.age(i)):
+                found(*age, "AGE", "personal")
+            if (end := _iban(r, i)) is not None:
+                found(i, end, "IBAN", "unknown")
+        if (r.kind(i) in ("+", "(") or r.kind(i) == "0") and (run := r.phone(i)) is not None:
+            end, fits = run
+            anchored = i in anchors
+            value = r.text[r.at[i] : r.at[end]]
+            groups = sum(r.kind(k) == "0" for k in range(i, end))
+            abroad = value.lstrip("(").startswith(("+", "00"))
+            free = fits and not r.coded(i, end) and (anchored or not r.business_before(i) and r.date(i) != end)
+            if free and (anchored or abroad or value[0] in "0(" and groups > 2 and phone_possible(value)):
+                found(i, r.extension(end) or end, "TELEPHONENUM", "personal" if anchored else "unknown")
+            i = end
             continue
-        if anchored or re.match(r"\(?(?:\+|00)", m.group()) or phone_possible(m.group()) and len(re.findall("[0-9]+", m.group())) > 2 and m.group()[0] in "0(":
-            out.append((start, end, "TELEPHONENUM", "personal" if anchored else "unknown"))
+        i += 1
     return once_per_label(out)
 
 
@@ -158,9 +345,15 @@ def once_per_label(found: list[tuple[int, int, str, str]]) -> list[tuple[int, in
 
 
 @F.pandas_udf(SPANS)
-def announced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _announced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(lambda t: [{"start": a, "end": b, "label": x, "context": c} for a, b, x, c in field_spans(t or "")])
+        yield batch.map(lambda t: [{"start": a, "end": b, "label": x, "context": c} for a, b, x, c in field_spans(t)] if t else [])
+
+
+def announced(text: Column | str) -> Column:
+    """Announced values of a text: array of (start, end, label, context); a text without a digit has none and isn't sent to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    return _announced(F.when(text.rlike("[0-9]"), text))
 
 
 def _candidate(s: Column, source: str, validation: Column, context: Column) -> Column:
@@ -206,4 +399,4 @@ def mask_structured(docs: DataFrame, text: str = "text", enabled: tuple[str, ...
 
 def register_functions(spark) -> None:
     """The SQL function ``pii_fields(text)``: announced values as an array of spans."""
-    spark.udf.register("pii_fields", announced)
+    spark.udf.register("pii_fields", _announced)

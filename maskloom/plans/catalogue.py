@@ -287,7 +287,11 @@ def top_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streaming_mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The masking projection over the documents as a stream of files, read back from its sink."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="maskloom-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="maskloom-")
     at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = stream.read_documents(spark, f"{sf_dir}/documents.parq*")
     stream.write_masked(stream.mask_stream(docs).select("doc_id", "masked_text", F.size("entities").alias("n_entities")), f"{at}/out", f"{at}/checkpoint").awaitTermination()
@@ -461,5 +465,6 @@ def dataset_summary_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def run_ledger_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("profile"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("model_sha256")).distinct()
-    ledger = fx.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.lit("1-URGENT").alias("profile"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("model_sha256"))
+    profile = F.when(F.col("c_mktsegment") == "BUILDING", "1-URGENT").when(F.col("c_mktsegment") == "AUTOMOBILE", "2-HIGH").otherwise("3-MEDIUM")
+    ledger = fx.table(spark, sf_dir, "customer").select(profile.alias("profile"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("model_sha256"))
     return datasets.not_yet_run(wanted, ledger, ["profile", "model_sha256"])

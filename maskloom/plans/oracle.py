@@ -248,5 +248,5 @@ SELECT doc, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end", label, r
     "conflicting_duplicate_text": "SELECT sha256(text) AS text_sha256, count(*) AS copies, count(DISTINCT source) AS signatures FROM documents GROUP BY text HAVING count(DISTINCT source) > 1",
     "dataset_summary_cube": f"""WITH r AS (SELECT source, lang, len(regexp_extract_all(text, '{SHORT}')) AS n FROM documents)
 SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS row_count, count(*) FILTER (n = 0) AS clean_rows, CAST(sum(n) AS BIGINT) AS span_count FROM r GROUP BY CUBE (source, lang)""",
-    "run_ledger_guard": "SELECT DISTINCT o_orderpriority AS profile, sha256(CAST(o_custkey AS VARCHAR)) AS model_sha256 FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))",
+    "run_ledger_guard": "SELECT DISTINCT o_orderpriority AS profile, sha256(CAST(o_custkey AS VARCHAR)) AS model_sha256 FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND o_orderpriority = CASE c_mktsegment WHEN 'BUILDING' THEN '1-URGENT' WHEN 'AUTOMOBILE' THEN '2-HIGH' ELSE '3-MEDIUM' END)",
 }

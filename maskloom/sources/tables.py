@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskloom.schema import LABELLED, REGION_LABELS, SPAN
 
+# Languages, and the limits of a labelled row in characters, spans and characters of its id.
 LANGUAGES = ("de", "en", "es", "fr", "it")
 MAX_CHARS, MAX_GOLD, MAX_ID = 12_000, 128, 200
 

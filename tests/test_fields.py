@@ -29,6 +29,17 @@ def values(text):
         ("passport: none given", []),
         ("order 4471-2290, invoice 2024/118", []),
         ("product age 3 years", []),
+        ("the machine's age: 12", []),
+        ("permis: 12AB34567", []),
+        ("Mon permis n° 12AB34567 ok", [("12AB34567", "DRIVERLICENSENUM")]),
+        ("passport C01X00T47 and permit: 12AB34567", [("C01X00T47", "PASSPORTNUM"), ("12AB34567", "DRIVERLICENSENUM")]),
+        ("dossier 12345", []),
+        ("dossier: 12345-A", [("12345-A", "PERSONALREF")]),
+        ("geboren am 3. Mai 1985", [("3. Mai 1985", "DATEOFBIRTH")]),
+        ("born on May 3, 1985.", [("May 3, 1985", "DATEOFBIRTH")]),
+        ("invoice number: 030 1234 5678", []),
+        ("call 030 1234 5678 today", [("030 1234 5678", "TELEPHONENUM")]),
+        ("part AB-030 1234 5678", []),
         ("", []),
     ],
 )
@@ -36,6 +47,13 @@ def test_announced_values(text, want):
     assert values(text) == want
 
 
+def test_identifiers_after_business_keys_stay(spark):
+    texts = ["order: RSSMRA85T10A562S", "invoice number: 1 85 05 78 006 084 91", "Bestellung RSSMRA85T10A562S", "reorder RSSMRA85T10A562S", "client RSSMRA85T10A562S"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["masked_text"] for r in mask_structured(rows).collect()}
+    assert [got[i] for i in range(5)] == [*texts[:3], "reorder [TAXNUM]", "client [PERSONALREF]"]
+
+
 def test_phone_plan():
     assert phone_possible("+33 1 23 45 67 89")
     assert not phone_possible("+33 1 23")
