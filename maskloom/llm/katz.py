@@ -20,6 +20,7 @@ bucket and 32 bits, followers by 64; contexts that share an identity form one cl
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from maskloom.llm.words import mix, split_words
 
 #: Counts up to so many are discounted.
 SMALL = 5
-#: Turns in which texts are scored; each reads all texts and a share of the buckets.
+#: Turns in which bigrams are counted, and scored; each reads all texts for a share of the buckets, as all at once take much disk.
 TURNS = 2
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -118,7 +119,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
     documents of their own, a null doc_id is a document in the fold of the text ``null``; other columns are ignored; an empty table
     gives no rows.  With no training document at all score and base_score are those of a model that knows nothing.
 
-    The texts are read three times.  A table of files gives its rows in the same order each time; where ``docs`` is derived and
+    The texts are read once for the unigrams, and ``TURNS`` times each to count and to score bigrams.  A table of files gives its rows in the same order each time; where ``docs`` is derived and
     doesn't, so that the numbers of two reads belong to other rows, the result is an error and never another text's score.
     """
     spark = docs.sparkSession
@@ -185,10 +186,11 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
     uni = common.read_parts(spark, path, uni.schema).where("own = 1")
 
     # 2. training bigrams by context, one packed row per bucket, and its followers by the bucket of their unigram counts
-    def bigram_make(part: pa.RecordBatch):
+    def bigram_make(part: pa.RecordBatch, turn: int):
         # whose a bigram is doesn't matter here; counted, and in order of context, they take less room on their way
         _, context, h = bigrams(part.column("text"))
-        context, followers = _counted(context, h)
+        own = packed.bucket_of(context, buckets) % TURNS == turn
+        context, followers = _counted(context[own], h[own])
         return np.zeros(len(context), np.int64), context, context.astype("<u4"), followers
 
     train = rows.where(~F.col("held"))
@@ -235,9 +237,13 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         })
 
     answer = "bucket int, home int, words binary, counts binary"
-    counted = packed.deal(train, buckets, bigram_make).groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>")
-    bi, path = common.materialise_parts(counted.withColumn("asks", (F.col("home") >= 0).cast("int")), "bigrams", "asks")
-    common.release(spark)
+    parts = []
+    for turn in range(TURNS):
+        dealt = packed.deal(train, buckets, lambda part, turn=turn: bigram_make(part, turn))
+        counted = dealt.groupBy("bucket").applyInArrow(bigram_count, answer + ", places binary, names binary, sizes binary, totals binary, few array<long>")
+        parts.append(common.materialise_parts(counted.withColumn("asks", (F.col("home") >= 0).cast("int")), "bigrams", "asks"))
+        common.release(spark)
+    bi = reduce(DataFrame.unionByName, (df for df, _ in parts))
     seen = bi.where("asks = 0").agg(*(F.coalesce(F.sum(F.get("few", F.lit(r))), F.lit(0)) for r in range(1, SMALL + 2))).first()
     d = discounts({r: seen[r - 1] for r in range(1, SMALL + 2)}, min_count)
 
@@ -260,8 +266,10 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
 
     priced = bi.where("asks = 1").select("bucket", "home", "words").groupBy("home").cogroup(tables.groupBy("home")).applyInArrow(look_up, answer)
     priced = common.materialise(priced, "follower-counts")
-    common.discard(spark, f"{path}/asks=1")  # the questions are answered; their room is needed
-    model = common.read_parts(spark, path, bi.schema).where("asks = 0").drop("few", "asks").unionByName(priced, allowMissingColumns=True)
+    for _, path in parts:  # the questions are answered; their room is needed
+        common.discard(spark, f"{path}/asks=1")
+    bi = reduce(DataFrame.unionByName, (common.read_parts(spark, path, df.schema) for df, path in parts))
+    model = bi.where("asks = 0").drop("few", "asks").unionByName(priced, allowMissingColumns=True)
     common.release(spark)
 
     # 3. backoff weights and gains of a bucket
@@ -289,7 +297,7 @@ def score_texts(docs: DataFrame, folds: int = 10, min_count: int = 1) -> DataFra
         gain = np.log10(q * scale[which]) - alpha[which] - np.log10(p)
         return names, alpha, names[which].astype(np.uint64) << np.uint64(32) | upper, gain
 
-    # 4. every bigram of every document against its bucket's table; in turns, as the bigrams of all texts at once take much disk
+    # 4. every bigram of every document against its bucket's table; in turns
     def score_make(part: pa.RecordBatch, turn: int):
         owner, context, h = bigrams(part.column("text"))
         own = packed.bucket_of(context, buckets) % TURNS == turn
