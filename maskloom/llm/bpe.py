@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from maskloom.llm.words import mix, ragged, text_bytes
 
 #: Chunks a worker's table holds, at about 70 bytes each; beyond it the table starts anew.
-CHUNKS = 1_200_000
+CHUNKS = 800_000
 #: Bytes of text to be encoded at once: a slice knows each of its chunks once.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 3 << 20
 #: Bytes of a chunk's key; the last one is its length, so longer chunks aren't kept.
 _KEY = 24
 

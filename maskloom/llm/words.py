@@ -7,6 +7,7 @@ random value for each byte, finished by a multiply-xor mix.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,8 +66,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Free memory, which the allocators keep for a worker's next task otherwise, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``most`` bytes of text."""
+    """The batch in runs of rows of about ``most`` bytes of text; memory that is free after them goes back to the system."""
     if not batch.num_rows:
         return
     _, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
@@ -75,6 +84,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    give_back()
 
 
 def split_words(texts: pa.Array, lower: bool) -> Words:
