@@ -4,7 +4,7 @@ Equal unit vectors are first folded into one row with a count.  In each pass eve
 random projections, concatenated to a key; rows are ordered by (label, key) across the cluster and each is
 compared, in double precision, with its next neighbours in a bounded window.  Windows run over stretches of the
 whole order with the rows around them, so that partitions, however small, bound nothing.  The number of passes follows from the number of rows so that a pair
-at the threshold is met with the wanted probability.
+at the threshold is met with the wanted probability.  The keys of all passes are made in one reading of the vectors.
 
 How many leading signs leave a window of rows is read off the keys of each pass; a vector whose passes, so measured, don't
 reach the wanted probability (those of a label that lie close together) may have links no pass showed.  A vector whose
@@ -115,50 +115,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = common.shuffle_width(spark)
-    eps = 0.0
 
-    def hasher(number: int):
+    def hasher(numbers: range):
+        """The keys of several passes, so that each pass reads ids and one column of keys but no vectors."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            planes: dict[int, np.ndarray] = {}
+            planes: dict[tuple[int, int], np.ndarray] = {}
+            places = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
             for batch in batches:
                 units = batch.column("unit").to_pylist()
-                keys = np.zeros(len(units), np.int64)
+                keys = np.zeros((len(numbers), len(units)), np.int64)
                 size = np.array([len(u) // 8 for u in units])
                 for n in np.unique(size).tolist():
                     at = np.flatnonzero(size == n)
-                    if n not in planes:
-                        planes[n] = np.random.default_rng([seed, number, n]).normal(size=(n, BITS))
                     x = np.frombuffer(b"".join(units[i] for i in at), "<f8").reshape(-1, n)
-                    keys[at] = ((x @ planes[n]) > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(keys), batch.column("rep"), batch.column("mark")], ["grp", "key", "rep", "mark"])
+                    for k, number in enumerate(numbers):
+                        if (number, n) not in planes:
+                            planes[number, n] = np.random.default_rng([seed, number, n]).normal(size=(n, BITS))
+                        keys[k, at] = ((x @ planes[number, n]) > 0) @ places
+                yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("rep"), batch.column("mark"), *map(pa.array, keys)], ["grp", "rep", "mark", *(f"key{x}" for x in numbers)])
 
         return run
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their partition and their place in it."""
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            more = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(more, part, np.int32)), pa.array(np.arange(n, n + more))], [*batch.schema.names, "part", "place"])
-            n += more
+    def hashed(numbers: range) -> DataFrame:
+        return common.materialise(folded.mapInArrow(hasher(numbers), "grp string, rep long, mark long, " + ", ".join(f"key{x} long" for x in numbers)), "keys")
 
     # stretches of the whole order, however it was dealt; each also gets the rows that its own can meet before and after it
     reach = window + 1
     span = max(8 * window, min(math.ceil(total / width), 1 << 16))
     stretches = math.ceil(total / span)
 
-    def stretched(first: dict[int, int]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rank = np.array([first[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("place").to_numpy()
-                own = rank // span
-                for step, copied in ((0, own >= 0), (-1, (own > 0) & (rank - own * span < reach)), (1, (own + 1 < stretches) & ((own + 1) * span - rank <= reach))):
-                    at = np.flatnonzero(copied)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[at] + step), pa.array(rank[at]), *(batch.column(c).take(pa.array(at)) for c in ("grp", "key", "rep", "mark"))], ["stretch", "rank", "grp", "key", "rep", "mark"])
-
-        return run
+    def stretched(ordered: DataFrame, before: DataFrame) -> DataFrame:
+        """Each row once for its own stretch and for those next to it that it can be met from."""
+        rank = ordered.join(F.broadcast(before), "part").select("grp", "key", "rep", "mark", (F.col("before") + F.col("place")).alias("rank")).withColumn("own", F.expr(f"rank DIV {span}"))
+        into = F.col("rank") - F.col("own") * span
+        back = F.when((F.col("own") > 0) & (into < reach), F.col("own") - 1)
+        on = F.when((F.col("own") + 1 < stretches) & (span - into <= reach), F.col("own") + 1)
+        return rank.select(F.explode(F.array_compact(F.array("own", back, on))).alias("stretch"), "rank", "grp", "key", "rep", "mark")
 
     agree = 1 - math.acos(min(1.0, threshold)) / math.pi
 
@@ -186,7 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi - lo > 1:
-                left, right, links = _window_pairs(np.frombuffer(b"".join(units[lo:hi]), "<f8").reshape(hi - lo, -1), window, threshold - eps)
+                left, right, links = _window_pairs(np.frombuffer(b"".join(units[lo:hi]), "<f8").reshape(hi - lo, -1), window, threshold)
                 chance[lo:hi] = missed(key[lo:hi])
                 here, full = own[lo:hi], (links >= window // 2) & own[lo:hi]
                 # a pair is told by the stretch of its first row; two saturated rows meet in the blocks below
@@ -199,15 +192,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
         return pa.table([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2]), chances], ["kind", "a", "b", "missed"])
 
     # as many passes as spread-out vectors need, and more while each settles a good part of the rows left
-    passes, number, found, left_before = passes_for(total, threshold, window, recall), 0, None, total
+    passes, number, found, left_before, ahead = passes_for(total, threshold, window, recall), 0, None, total, range(0)
     while True:
-        keyed = folded.mapInArrow(hasher(number), "grp string, key long, rep long, mark long")
-        ordered = keyed.repartitionByRange(width, "grp", "key", "rep").sortWithinPartitions("grp", "key", "rep")
-        ordered = common.materialise(ordered.mapInArrow(counted, "grp string, key long, rep long, mark long, part int, place long"), "order")
-        first, rows_before = {}, 0
+        if number not in ahead:
+            ahead = range(number, max(passes, number + 4))
+            keys = hashed(ahead)
+        ordered = keys.select("grp", F.col(f"key{number}").alias("key"), "rep", "mark").repartitionByRange(width, "grp", "key", "rep").sortWithinPartitions("grp", "key", "rep")
+        # the low 33 bits of the id count the rows of a partition
+        ordered = common.materialise(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "order")
+        before, rows_before = [], 0
         for part, n in sorted(ordered.groupBy("part").count().collect()):  # a row for each partition
-            first[part], rows_before = rows_before, rows_before + n
-        dealt = ordered.mapInArrow(stretched(first), "stretch long, rank long, grp string, key long, rep long, mark long").join(folded.select("grp", "rep", "mark", "unit"), ["grp", "rep", "mark"])
+            before.append((part, rows_before))
+            rows_before += n
+        first = spark.createDataFrame(before, "part int, before long")  # so this broadcast has as many rows as the shuffle has partitions
+        dealt = stretched(ordered, first).join(folded.select("grp", "rep", "mark", "unit"), ["grp", "rep", "mark"])
         own = common.materialise(dealt.groupBy("stretch").applyInArrow(meet, "kind int, a long, b long, missed double"), "pass")
         found = own if found is None else found.unionByName(own)
         common.release(spark)
@@ -241,10 +239,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, window: int = 4
                 a = np.frombuffer(b"".join(r["unit"] for r in q), "<f8").reshape(len(q), -1)
                 b = np.frombuffer(b"".join(r["unit"] for r in e), "<f8").reshape(len(e), -1)
                 ids, others = [r["rep"] for r in q], [r["rep"] for r in e]
-                hit = a @ b.T >= threshold - eps
+                hit = a @ b.T >= threshold
                 near = np.argwhere(hit & (np.abs(a @ b.T - threshold) < 1e-9))
                 for i, j in near:  # the sum in order decides ties at the threshold
-                    hit[i, j] = float(np.sum(a[i] * b[j])) >= threshold - eps
+                    hit[i, j] = float(np.sum(a[i] * b[j])) >= threshold
                 for i, j in np.argwhere(np.array(ids)[:, None] == np.array(others)[None, :]):
                     hit[i, j] = False
                 weight = hit @ np.array([r["copies"] for r in e])
