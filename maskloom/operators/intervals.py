@@ -53,6 +53,18 @@ def union_sources(spans: DataFrame, first: str = "regex") -> DataFrame:
     return merged.select("doc", "start", "end", F.coalesce("_own", "_any").alias("label"), F.when(F.col("_n") > 1, "both").otherwise(F.col("_s")).alias("source"))
 
 
+def union_refined(spans: DataFrame) -> DataFrame:
+    """Union with touching, as the refinement leaves it: ADDRESS if any span is one, else the first, longest, least label.
+
+    The source is ``refine`` if any span has it, ``both`` if sources are mixed, else the only one.
+    """
+    order = F.struct("start", -F.col("end"), "label")
+    g = islands(spans, ["doc"], True).groupBy("doc", "island")
+    merged = g.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or(F.col("label") == "ADDRESS").alias("_region"), F.min_by("label", order).alias("_first"), F.bool_or(F.col("source") == "refine").alias("_refined"), F.count_distinct("source").alias("_n"), F.min("source").alias("_s"))
+    label = F.when(F.col("_region"), "ADDRESS").otherwise(F.col("_first"))
+    return merged.select("doc", "start", "end", label.alias("label"), F.when(F.col("_refined"), "refine").when(F.col("_n") > 1, "both").otherwise(F.col("_s")).alias("source"))
+
+
 def union_promoted(spans: DataFrame) -> DataFrame:
     """Union with touching; the first, longest, least label, promoted to a region of the island that contains it."""
     order = F.struct("start", (-F.col("end")).alias("back"), "label", "end")

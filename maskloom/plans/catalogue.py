@@ -197,6 +197,21 @@ def union_label_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.union_promoted(fx.spans(spark, sf_dir))
 
 
+@query
+def union_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.spans(spark, sf_dir)
+    return intervals.union_refined(s.withColumn("source", F.when(F.col("ord") == 4, "refine").otherwise(F.col("source"))))
+
+
+@query
+def region_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address [0, 60) of each order, cut at the other values in it."""
+    inside = intervals.union_promoted(fx.spans(spark, sf_dir)).where("start < 60")
+    rows = inside.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label"))).alias("overrides"))
+    parts = rows.select("doc", F.explode(tokens.split_region(F.lit(0), F.lit(60), F.col("overrides"))).alias("p"))
+    return parts.select("doc", "p.start", "p.end", "p.label")
+
+
 @query
 def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.spans(spark, sf_dir).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "label")).alias("spans"))

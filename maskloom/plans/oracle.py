@@ -189,6 +189,15 @@ r AS (SELECT *, max(e) OVER (PARTITION BY doc, label ORDER BY s, e DESC ROWS BET
     "union_label_promotion": f"""WITH {SP}, {islands('sp', 'doc', '>')},
 g AS (SELECT doc, min(s) AS s, max(e) AS e, list({{'s': s, 'e': e, 'label': label}} ORDER BY s, e DESC, label) AS items FROM isl GROUP BY doc, island)
 SELECT {OUT}, list_reduce(items, lambda p, x: CASE WHEN x.s <= p.s AND p.e <= x.e AND ((x.label = 'PERSONNAME' AND p.label = 'GIVENNAME') OR (x.label = 'ADDRESS' AND p.label IN ('GIVENNAME', 'PERSONNAME'))) THEN x ELSE p END).label AS label FROM g""",
+    "union_refined": f"""WITH {SP}, spr AS (SELECT * REPLACE (CASE WHEN ord = 4 THEN 'refine' ELSE source END AS source) FROM sp), {islands('spr', 'doc', '>')}
+SELECT doc, min(s) AS "start", max(e) AS "end", CASE WHEN bool_or(label = 'ADDRESS') THEN 'ADDRESS' ELSE first(label ORDER BY s, e DESC, label) END AS label,
+  CASE WHEN bool_or(source = 'refine') THEN 'refine' WHEN count(DISTINCT source) > 1 THEN 'both' ELSE min(source) END AS source FROM isl GROUP BY doc, island""",
+    "region_split": f"""WITH {SP}, {islands('sp', 'doc', '>')},
+g AS (SELECT doc, min(s) AS s, max(e) AS e, list({{'s': s, 'e': e, 'label': label}} ORDER BY s, e DESC, label) AS items FROM isl GROUP BY doc, island),
+ov AS (SELECT doc, s, least(e, 60) AS e, list_reduce(items, lambda p, x: CASE WHEN x.s <= p.s AND p.e <= x.e AND ((x.label = 'PERSONNAME' AND p.label = 'GIVENNAME') OR (x.label = 'ADDRESS' AND p.label IN ('GIVENNAME', 'PERSONNAME'))) THEN x ELSE p END).label AS label FROM g WHERE s < 60),
+parts AS (SELECT * FROM ov UNION ALL SELECT doc, coalesce(lag(e) OVER (PARTITION BY doc ORDER BY s), 0), s, 'ADDRESS' FROM ov UNION ALL SELECT doc, max(e), 60, 'ADDRESS' FROM ov GROUP BY doc),
+m AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY doc ORDER BY s) = label THEN 0 ELSE 1 END AS new FROM parts WHERE s < e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY s) AS run FROM m) SELECT doc, {INT('min(s)')} AS "start", {INT('max(e)')} AS "end", label FROM r GROUP BY doc, run, label""",
     "greedy_spans": f"""WITH RECURSIVE {SP}, o AS (SELECT doc, s, e, label, row_number() OVER (PARTITION BY doc ORDER BY s, e DESC, label) AS i FROM sp),
 w AS (SELECT doc, s, e, label, i, true AS kept, e AS last FROM o WHERE i = 1
   UNION ALL SELECT o.doc, o.s, o.e, o.label, o.i, o.s >= w.last, CASE WHEN o.s >= w.last THEN o.e ELSE w.last END FROM w JOIN o ON o.doc = w.doc AND o.i = w.i + 1)
