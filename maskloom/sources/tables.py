@@ -59,6 +59,19 @@ def read_external(spark: SparkSession, path: str, mapping: dict[str, str], outsi
     return rows.select("language", "text", F.sha2("text", 256).alias("text_sha256"), gold.alias("gold"), "all_annotations", other.alias("out_of_scope"))
 
 
+def read_routed(spark: SparkSession, path: str, languages: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows of a JSONL file in the languages named, with the hash of their text, and those whose spans don't say what the text does.
+
+    Malformed JSON fails the read; rows of other languages are left out; a null text or list of spans counts as a fault.
+    """
+    rows = spark.read.schema("language string, source_text string, privacy_mask array<struct<start:int,end:int,label:string,value:string>>").option("mode", "FAILFAST").json(path)
+    rows = rows.where(F.col("language").isin(*languages)).withColumn("text_sha256", F.sha2("source_text", 256))
+    text = F.col("source_text")
+    same = F.forall("privacy_mask", lambda m: (m["start"] >= 0) & (m["end"] >= m["start"]) & (m["end"] <= F.length(text)) & (F.substring(text, m["start"] + 1, m["end"] - m["start"]) == m["value"]))
+    good = F.coalesce(same & text.isNotNull(), F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
 def mask_json(entities: Column, masked: Column) -> Column:
     """The command line's JSON: masked_text and entities, nothing of the input beside."""
     return F.to_json(F.struct(masked.alias("masked_text"), entities.alias("entities")))

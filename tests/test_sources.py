@@ -25,6 +25,16 @@ def test_external_rows(spark, tmp_path):
     assert [g["label"] for g in row["out_of_scope"]] == ["date"]
 
 
+def test_routed_rows(spark, tmp_path):
+    mask = lambda start, end, value: [{"start": start, "end": end, "label": "CITY", "value": value}]
+    rows = [("en", "in Rome", mask(3, 7, "Rome")), ("en", "😀 Rome", mask(2, 6, "Rome")), ("de", "in Rom", mask(0, 2, "Rom")), ("xx", "y", []), ("de", "leer", []), ("en", None, []), ("en", "short", mask(3, 9, "rt"))]
+    path = tmp_path / "rows.jsonl"
+    path.write_text("".join(json.dumps({"language": a, "source_text": b, "privacy_mask": c, "more": 1}) + "\n" for a, b, c in rows))
+    good, bad = tables.read_routed(spark, str(path), ("de", "en"))
+    assert sorted(r["source_text"] for r in good.collect()) == ["in Rome", "leer", "😀 Rome"]
+    assert sorted(str(r["source_text"]) for r in bad.collect()) == ["None", "in Rom", "short"]
+
+
 def test_receipts(spark, tmp_path):
     rows = spark.range(10).selectExpr("id AS row", "array(id) AS entities")
     assert tables.verified_receipts(rows, f"{tmp_path}/r").count() == 0
